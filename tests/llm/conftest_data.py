@@ -1,0 +1,9 @@
+"""Brute-force helpers."""
+
+
+def encode_all(name, texts, end_id=2):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    return [t.encode(x or "", add_special_tokens=False).ids + [end_id] for x in texts]
