@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, packing
+from citeforge.llm import bitplanes, fertility, packing, skipchain
 
 QUERIES = {
+    "op1_fertility": fertility.op1_fertility,
+    "op2_skip_chain": skipchain.op2_skip_chain,
     "op5_bit_planes": bitplanes.op5_bit_planes,
     "op9_packing": packing.op9_packing,
 }
