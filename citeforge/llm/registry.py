@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, fertility, packing, skipchain
+from citeforge.llm import bitplanes, bytecnn, fertility, packing, skipchain
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
     "op2_skip_chain": skipchain.op2_skip_chain,
     "op5_bit_planes": bitplanes.op5_bit_planes,
     "op9_packing": packing.op9_packing,
+    "op10_byte_cnn": bytecnn.op10_byte_cnn,
 }
 ORACLES: dict[str, str] = {}
