@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, bytecnn, fertility, packing, skipchain
+from citeforge.llm import bitplanes, brown, bytecnn, fertility, packing, skipchain, warc
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
     "op2_skip_chain": skipchain.op2_skip_chain,
+    "op3_brown": brown.op3_brown,
+    "op4_capture_index": warc.op4_capture_index,
     "op5_bit_planes": bitplanes.op5_bit_planes,
     "op9_packing": packing.op9_packing,
     "op10_byte_cnn": bytecnn.op10_byte_cnn,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE}
