@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, brown, bytecnn, fertility, packing, skipchain, warc
+from citeforge.llm import bitplanes, brown, bytecnn, fertility, oddsketch, packing, skipchain, warc
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_brown": brown.op3_brown,
     "op4_capture_index": warc.op4_capture_index,
     "op5_bit_planes": bitplanes.op5_bit_planes,
+    "op7_odd_sketches": oddsketch.op7_odd_sketches,
     "op9_packing": packing.op9_packing,
     "op10_byte_cnn": bytecnn.op10_byte_cnn,
 }
