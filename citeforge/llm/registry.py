@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, brown, bytecnn, fertility, oddsketch, packing, skipchain, warc
+from citeforge.llm import bitplanes, brown, bytecnn, containment, fertility, markov, oddsketch, packing, skipchain, warc
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_brown": brown.op3_brown,
     "op4_capture_index": warc.op4_capture_index,
     "op5_bit_planes": bitplanes.op5_bit_planes,
+    "op6_containment": containment.op6_containment,
     "op7_odd_sketches": oddsketch.op7_odd_sketches,
+    "op8_markov": markov.op8_markov,
     "op9_packing": packing.op9_packing,
     "op10_byte_cnn": bytecnn.op10_byte_cnn,
 }
-ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE, "op6_containment": containment.ORACLE}

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_data import encode_all
+from brute import encode_all
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

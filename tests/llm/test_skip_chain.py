@@ -43,3 +43,16 @@ def test_clean_text_gets_no_spans(spark):
 
 def test_empty_table(empty):
     assert sc.find_spans(empty).collect() == []
+
+
+def test_query_counts(spark):
+    from collections import Counter
+
+    SF = "/root/testdata/sf0.001"
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in sc.op2_skip_chain(spark, SF).collect():
+        spans = brute(docs[r.doc_id])
+        n = Counter(k for k, _, _ in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == (n[0], n[1], n[2], n[3], sc.sha256_of(spans))
+        assert r.n_added or r.spans == ",".join(f"{sc.KINDS[k]}:{a}:{b}" for k, a, b in spans)

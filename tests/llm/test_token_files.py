@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_data import encode_all
+from brute import encode_all
 
 from citeforge.llm import bitplanes as bp
 
