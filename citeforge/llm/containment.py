@@ -20,8 +20,6 @@ from citeforge.llm import shared
 
 WIDTH = 5
 CONTAINED = 75  # percent
-#: Small tables are broadcast up to this many rows, else joined over a shuffle.
-BROADCAST_ROWS = 1_000_000
 _BLANKS = "[\\x09-\\x0D\\x20]+"
 
 
@@ -47,11 +45,6 @@ def _strings(words: Column) -> Column:
     return F.array_distinct(F.transform(_tuples(words), lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(WIDTH)])))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the table's checked size is within the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _items(benchmark: DataFrame) -> DataFrame:
     """Distinct items with their exact shingles; items without a word are left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
@@ -84,17 +77,17 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     null id is kept as null. Other columns are not read.
     """
     items = shared.materialize(_items(benchmark), "benchmark-items")
-    sketches = _small(shared.materialize(_sketches(items), "benchmark-sketches"))
+    sketches = shared.small(shared.materialize(_sketches(items), "benchmark-sketches"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     words = rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     shingles = words.select("doc_id", "text_key", F.explode(_tuples(_padded(F.col("words")))).alias("s")).select("doc_id", "text_key", _hash(F.col("s")).alias("hash"))
     hits = shingles.join(sketches, "hash").groupBy("doc_id", "text_key", "item").agg(F.count_distinct("hash").alias("hits"), F.first("needed").alias("needed"))
     found = shared.materialize(hits.where("hits >= needed").select("doc_id", "text_key", "item"), "candidates")
     pairs = found.select("text_key", "item").distinct()
-    texts = rows.select("text_key", "text").join(_small(found.select("text_key").distinct()), "text_key", "left_semi")
+    texts = rows.select("text_key", "text").join(shared.small(found.select("text_key").distinct()), "text_key", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     held = texts.select("text_key", _strings(_padded(words_of(F.col("text")))).alias("held"))
-    met = pairs.join(held, "text_key").join(_small(items.select("item", "item_id", "shingles")), "item")
+    met = pairs.join(held, "text_key").join(shared.small(items.select("item", "item_id", "shingles")), "item")
     met = met.select("text_key", "item", "item_id", F.size("shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("held", "shingles")).cast("long").alias("n_shared"))
     sure = shared.materialize(met.where(100 * F.col("n_shared") >= CONTAINED * F.col("n_item_shingles")), "contained")
     return found.join(sure, ["text_key", "item"]).select("doc_id", "text_key", "item_id", "n_item_shingles", "n_shared")
@@ -103,7 +96,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they are."""
     found = contained_items(docs, benchmark).select(F.col("text_key").alias("held_text_key")).distinct()
-    return docs.join(_small(found), F.xxhash64(docs["text"]) == F.col("held_text_key"), "left_anti")
+    return docs.join(shared.small(found), F.xxhash64(docs["text"]) == F.col("held_text_key"), "left_anti")
 
 
 def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

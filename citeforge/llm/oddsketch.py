@@ -34,8 +34,6 @@ LONGS = 8  # 512 bits of odd sketch
 #: Pairs whose estimate is lower are dropped; at a true similarity of 0.75 this is 5 deviations off.
 LEAST_ESTIMATE = 0.5
 STAR_ROUNDS = 3
-#: Ids of candidates are broadcast up to this number (16 MB), else joined over a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _SEEDS = np.random.default_rng(20240229)
 _MUL = _SEEDS.integers(1 << 31, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -110,7 +108,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"o{k} long" for k in range(LONGS))
+SKETCH = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"o{k} long" for k in range(LONGS))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +120,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([_digest(s) for s in sets], np.int64)
             offs = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
             odd = odd_sketches(samples)
-            arrays = [keys.slice(a, b - a), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(ids[:, 0]), pa.array(ids[:, 1])]
+            arrays = [keys.slice(a, b - a), column(batch, "text_key").slice(a, b - a), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(ids[:, 0]), pa.array(ids[:, 1])]
             arrays.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(bands_of(samples).reshape(-1))))
             arrays += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(LONGS)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *(f"o{k}" for k in range(LONGS))])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", *(f"o{k}" for k in range(LONGS))])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +162,7 @@ class _Verifier:
         pairs = shared.materialize(self.close_enough(pairs), "candidates")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = shared.materialize(self.classes.join(ids, "node", "left_semi").select("node", "set_a", "set_b"), "candidate-ids")
-        wanted = ids.select(F.col("node").alias("doc_id")).distinct()
-        if ids.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
+        wanted = shared.small(ids.select(F.col("node").alias("doc_id")).distinct())
         texts = self.docs.join(wanted, "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets, "node long, set_a long, set_b long, members array<long>")
         sets = sets.join(ids, ["node", "set_a", "set_b"], "left_semi").groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members"))
@@ -217,14 +213,14 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+    """doc_id, text_key (the text's hash), n_shingles, component_id and kept for each row of ``docs``.
 
     Texts without a word, and null texts, have an empty set and are linked with nothing. Rows
     without an id are linked with nothing either; their component is null and they are kept. Rows
     of equal id are one document when their sets are equal, else each is linked by its own set; the
     smallest id of a component is kept, in every row that has it. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     sketches = shared.materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
     kept = [F.first(c).alias(c) for c in ("bands", *(f"o{k}" for k in range(LONGS)))]
@@ -235,9 +231,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = shared.materialize(known.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "known")
     out = sketches.join(known, ["set_a", "set_b"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are; of repeated rows one stays."""
+    found = shared.materialize(near_duplicates(docs), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    kept = docs.join(shared.small(gone), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id")).distinct()
+    if again.isEmpty():
+        return kept
+    again = shared.small(again)
+    once = kept.join(again, kept["doc_id"] == F.col("again_id"), "left_anti")
+    return once.union(kept.join(again, kept["doc_id"] == F.col("again_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -11,6 +11,7 @@ import uuid
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -37,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Small tables are broadcast up to this many rows of a few numbers each, else joined over a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the table's checked number of rows is within the bound."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _filesystem(uri: str):
     """(pyarrow file system, path) of a URI; local paths need no scheme."""
     from pyarrow import fs

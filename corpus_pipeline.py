@@ -1,12 +1,64 @@
-"""The corpus pipeline: language, near copies, benchmark leaks, secrets, packing."""
+"""The corpus pipeline: language, near copies, benchmark leaks, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but
+the last return the columns of ``docs`` as they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeforge.llm import bytecnn, containment, markov, oddsketch, packing, shared
+
+#: Documents whose language the network gives less probability than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, and those whose language is not clear."""
+    known = bytecnn.identify(docs, bytecnn.train(docs.select("doc_id", "text", "lang")))
+    return known.where((F.col("lang_pred") != bytecnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near copies."""
+    return oddsketch.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return containment.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by a mark; n_chars follows the text where it changes."""
+    found = markov.find_secrets(docs).withColumn("clean_text", markov.redacted(F.col("text"), F.col("all_spans")))
+    changed = F.size("all_spans") > 0
+    columns = {"text": F.col("clean_text"), "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select([columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-id pieces in sequences of at most 4096."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near copies", near_copies),
+    ("benchmark leaks", benchmark_leaks),
+    ("secrets", secrets),
+    ("packing", packing_stage),
+]
+
+#: A trained network decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over the documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage keeps is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

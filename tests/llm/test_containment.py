@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeforge.llm import containment as ct
+from citeforge.llm import shared
 
 
 def shingles(text):
@@ -31,7 +32,7 @@ def test_documents_equal_brute_force(spark, docs):
 
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_edited_items_in_long_documents(spark, monkeypatch, most):
-    monkeypatch.setattr(ct, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(3 + 7 * k))) for k in range(12)] + [(50, None), (51, " "), (52, "short one")]
     docs = []
     for k, t in items[:12]:

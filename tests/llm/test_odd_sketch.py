@@ -36,7 +36,7 @@ def brute(rows):
 
 
 def got(df):
-    return {tuple(r) for r in oddsketch.near_duplicates(df).collect()}
+    return {tuple(r) for r in oddsketch.near_duplicates(df).drop("text_key").collect()}
 
 
 def test_documents_equal_brute_force(docs):
@@ -72,6 +72,14 @@ def test_odd_rows(odd):
     assert by[5].n_shingles == 1
 
 
+def test_one_of_each(spark, odd, docs):
+    kept = oddsketch.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+    ids = sorted(r.doc_id for r in oddsketch.one_of_each(docs).collect())
+    assert ids == sorted(d for d, _, _, keep in brute([(r.doc_id, r.text) for r in docs.collect()]) if keep)
+
+
 def test_empty_table(empty):
     assert got(empty) == set()
 
