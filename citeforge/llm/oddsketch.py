@@ -7,10 +7,12 @@ bit: the count of ones of two sketches' XOR estimates their similarity precisely
 so pairs far below the threshold are dropped before any set is read. The remaining pairs are
 confirmed on their full sets, and links are joined to components.
 
-Within a band's bucket not all pairs are formed: first every member is held against the bucket's
-smallest one. Buckets whose members then lie in one component need nothing more. In the others,
-members are held against varying leaders of other components, and in the end against every member
-of the other components, so that no pair of a bucket that could join two components is left out.
+No step forms all pairs of a group as rows. In the tasks, members of a bucket are held against each
+other by their sketches (large buckets in blocks), and only a forest of the promising pairs leaves
+the task; it joins the classes to clusters outside which no link can lie. Clusters of up to
+``BLOCK`` classes are then resolved by their full sets in one task each. In larger ones the forest's
+pairs are confirmed first, and what is then not in the cluster's largest component is held against
+all of the cluster, block by block, so that no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ SAMPLES = BANDS * ROWS
 LONGS = 8  # 512 bits of odd sketch
 #: Pairs whose estimate is lower are dropped; at a true similarity of 0.75 this is 5 deviations off.
 LEAST_ESTIMATE = 0.5
-STAR_ROUNDS = 3
+BUCKET_BLOCK = 1024  # members of a bucket that are compared by sketches in one task
+BLOCK = 256  # classes of a cluster that are compared by full sets in one task
 
 _SEEDS = np.random.default_rng(20240229)
 _MUL = _SEEDS.integers(1 << 31, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -126,6 +129,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", *(f"o{k}" for k in range(LONGS))])
 
 
+ODD = [f"o{k}" for k in range(LONGS)]
+#: Ones of two sketches' XOR up to which the estimate reaches ``LEAST_ESTIMATE``.
+MOST_ONES = int(64 * LONGS * (1 - np.exp((LEAST_ESTIMATE - 1) * 4 * SAMPLES / (64 * LONGS))) / 2)
+SETS = "node long, set_a long, set_b long, members array<long>, " + ", ".join(f"{c} long" for c in ODD)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = column(batch, "doc_id")
@@ -134,7 +143,120 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([_digest(s) for s in sets], np.int64)
             offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             members = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids[:, 0]), pa.array(ids[:, 1]), members], names=["node", "set_a", "set_b", "members"])
+            odd = odd_sketches(np.stack([samples_of(s) if len(s) else np.zeros(SAMPLES, np.uint32) for s in sets]))
+            arrays = [keys.slice(a, b - a), pa.array(ids[:, 0]), pa.array(ids[:, 1]), members]
+            arrays += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(LONGS)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "set_a", "set_b", "members", *ODD])
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows of equal keys from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([column(batch, k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = tuple(key[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ones(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ones of the XOR of each row of ``x`` with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(LONGS):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
+def _odd(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in ODD], axis=1).view(np.uint64)
+
+
+def _across(table: pa.Table) -> np.ndarray:
+    """Whether a pair of the group's rows belongs to this group: across its blocks, if it has two."""
+    block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    return (block[:, None] != block[None, :]) if i != j else np.ones((len(block), len(block)), bool)
+
+
+PAIRS = "a long, b long"
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each bucket's promising pairs, and each member's nearest one."""
+    out: list[tuple[int, int]] = []
+    for table in groups(batches, ["bucket", "i", "j"]):
+        node, odd = table["node"].to_numpy(), _odd(table)
+        ones = _ones(odd, odd)
+        np.fill_diagonal(ones, 64 * LONGS)
+        near = (ones <= MOST_ONES) & _across(table) & (node[:, None] != node[None, :])
+        if not near.any():
+            continue
+        left = near.any(1)
+        for u in np.flatnonzero(left):
+            v = int(np.where(near[u], ones[u], 64 * LONGS).argmin())
+            out.append((int(node[u]), int(node[v])))
+        while left.any():
+            stack = [int(np.flatnonzero(left)[0])]
+            left[stack[0]] = False
+            while stack:
+                u = stack.pop()
+                fresh = np.flatnonzero(near[u] & left)
+                left[fresh] = False
+                stack += fresh.tolist()
+                out += [(int(node[u]), int(node[v])) for v in fresh]
+        if len(out) > 20_000:
+            yield _pairs_batch(out)
+            out = []
+    yield _pairs_batch(out)
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group that join different components, by full sets, the nearest pairs first."""
+    out: list[tuple[int, int]] = []
+    for table in groups(batches, ["cluster", "i", "j"]):
+        node, odd, part = table["node"].to_numpy(), _odd(table), table["component"].to_numpy()
+        ones = _ones(odd, odd)
+        fit = (ones <= MOST_ONES) & _across(table) & (part[:, None] != part[None, :])
+        a, b = np.nonzero(np.triu(fit, 1))
+        order = np.argsort(ones[a, b], kind="stable")
+        members = table["members"].combine_chunks()
+        at, values = members.offsets.to_numpy(), members.values.to_numpy().view(np.uint64)
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = up = top.get(up, up)
+                x = up
+            return x
+
+        for u, v in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            x, y = root(int(part[u])), root(int(part[v]))
+            if x == y:
+                continue
+            s, t = values[at[u] : at[u + 1]], values[at[v] : at[v + 1]]
+            if 100 * min(len(s), len(t)) < SIMILAR * max(len(s), len(t)):
+                continue
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= SIMILAR * (len(s) + len(t) - both):
+                top[max(x, y)] = min(x, y)
+                out.append((int(node[u]), int(node[v])))
+        if len(out) > 20_000:
+            yield _pairs_batch(out)
+            out = []
+    yield _pairs_batch(out)
 
 
 def similarity_estimate(difference):
@@ -144,72 +266,71 @@ def similarity_estimate(difference):
     return 1 + n / (4.0 * SAMPLES) * F.log(1 - 2 * share)
 
 
-class _Verifier:
-    """Confirms candidate pairs of one corpus; each class's set is computed where it is needed."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
-
-    def close_enough(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sketches allow the threshold."""
-        side = lambda c: self.classes.select(F.col("node").alias(c), *[F.col(f"o{k}").alias(f"{c}{k}") for k in range(LONGS)])
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        ones = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LONGS))
-        return joined.where(similarity_estimate(ones) >= LEAST_ESTIMATE).select("a", "b")
+def _in_blocks(rows: DataFrame, key: str, blocks, kept: list[str]) -> DataFrame:
+    """Rows dealt to the pairs (i, j) of their key's blocks, i <= j."""
+    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *kept)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold on their full sets."""
-        pairs = shared.materialize(self.close_enough(pairs), "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = shared.materialize(self.classes.join(ids, "node", "left_semi").select("node", "set_a", "set_b"), "candidate-ids")
-        wanted = shared.small(ids.select(F.col("node").alias("doc_id")).distinct())
-        texts = self.docs.join(wanted, "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets, "node long, set_a long, set_b long, members array<long>")
-        sets = sets.join(ids, ["node", "set_a", "set_b"], "left_semi").groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members"))
-        sets = shared.materialize(sets, "sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set"))
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        either = F.size("a_set") + F.size("b_set") - both
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= SIMILAR * either).select("a", "b").distinct()
 
-
-def _pairs(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that reach the threshold on their full sets."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set") - both
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= SIMILAR * either).select("a", "b").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another one."""
-    spark = docs.sparkSession
-    verify = _Verifier(docs, classes)
     keys = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = shared.materialize(keys.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"), "buckets")
-    members = shared.materialize(keys.join(buckets, "bucket"), "members")
-    links = shared.materialize(verify.links(members.where("node <> leader").select(*_pairs(F.col("node"), F.col("leader"))).distinct()), "links")
-    found = connected_components(links)
-    for k in range(STAR_ROUNDS + 1):
-        joined = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        sizes = joined.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(k))).alias("leader"))
-        open_ = sizes.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"), F.min_by(F.struct("leader", "component"), F.xxhash64("leader", F.lit(k))).alias("lead")
-        )
-        open_ = shared.materialize(open_.where("parts > 1"), "open-buckets")
-        n, cross = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()
-        if not n:
-            break
-        joined = shared.materialize(joined.join(open_.select("bucket", "lead"), "bucket"), "open-members")
-        last = k == STAR_ROUNDS or cross <= 4 * n
-        if last:  # every pair of a bucket's members that are in different components
-            x, y = joined.select("bucket", F.col("node").alias("x"), F.col("component").alias("xc")), joined.select("bucket", F.col("node").alias("y"), F.col("component").alias("yc"))
-            pairs = x.join(y, (x["bucket"] == y["bucket"]) & (x["xc"] < y["yc"])).select(*_pairs(F.col("x"), F.col("y")))
-        else:
-            pairs = joined.where(F.col("component") != F.col("lead.component")).select(*_pairs(F.col("node"), F.col("lead.leader")))
-        more = shared.materialize(verify.links(pairs.distinct()), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = connected_components(links)
-        if last:
-            break
-    return found if found is not None else spark.createDataFrame([], "node long, component long")
+    buckets = shared.materialize(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = keys.join(buckets, "bucket").join(classes.select("node", *ODD), "node")
+    dealt = _in_blocks(members, "bucket", F.ceil(F.col("n") / BUCKET_BLOCK), ODD).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    pairs = shared.materialize(dealt.mapInArrow(_promising, PAIRS).distinct(), "promising")
+    clusters = connected_components(pairs).withColumnRenamed("component", "cluster")
+
+    ids = shared.materialize(classes.join(clusters.select("node"), "node", "left_semi").select("node", "set_a", "set_b"), "candidates")
+    texts = docs.join(shared.small(ids.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_sets, SETS).join(ids, ["node", "set_a", "set_b"], "left_semi")
+    sets = sets.groupBy("node", "set_a", "set_b").agg(*[F.first(c).alias(c) for c in ("members", *ODD)]).drop("set_a", "set_b")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sets = shared.materialize(sets.join(clusters.join(sizes, "cluster"), "node"), "sets")
+
+    kept = ["component", "members", *ODD]
+    within = sets.where(F.col("n") <= BLOCK).withColumn("component", F.col("node"))
+    dealt = _in_blocks(within, "cluster", F.lit(1), kept)
+    large = sets.where(F.col("n") > BLOCK)
+    links = None
+    if not large.isEmpty():
+        wide = clusters.join(sizes.where(F.col("n") > BLOCK), "cluster")
+        near = pairs.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
+        first = wide.groupBy("cluster").agg(F.min("node").alias("b"))
+        stars = wide.join(first, "cluster").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        links = shared.materialize(_confirmed(near.union(stars).distinct(), large), "links")
+        parts = large.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        main = parts.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+        parts = shared.materialize(parts.join(F.broadcast(main), "cluster").withColumn("outside", F.col("component") != F.col("main")), "parts")  # at most one main for each BLOCK classes
+        dealt = dealt.unionByName(_outside_against_all(parts, kept))
+    rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    found = shared.materialize(rows.mapInArrow(_exact, PAIRS), "links")
+    return connected_components(found if links is None else links.union(found))
+
+
+def _outside_against_all(parts: DataFrame, kept: list[str]) -> DataFrame:
+    """Blocks of what is outside the main component, each with itself, its like and the main ones.
+
+    Outside rows are dealt to blocks 0 to k - 1 and the others to blocks k on; a group is a pair of
+    blocks of which the first is an outside one.
+    """
+    count = lambda c: F.ceil(F.sum(c.cast("long")) / BLOCK)
+    sizes = parts.groupBy("cluster").agg(count(F.col("outside")).alias("k"), count(~F.col("outside")).alias("m")).where("k > 0")
+    rows = parts.join(F.broadcast(sizes), "cluster")  # a row for each large cluster
+    h = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.greatest("m", F.lit(1)))))
+    last = F.when(F.col("outside"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *kept)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -53,9 +53,10 @@ def variants(seed, n, edits):
         yield " ".join(copy)
 
 
-@pytest.mark.parametrize("star_rounds", [0, 3])
-def test_large_groups_of_variants(spark, star_rounds, monkeypatch):
-    monkeypatch.setattr(oddsketch, "STAR_ROUNDS", star_rounds)
+@pytest.mark.parametrize(("bucket_block", "block"), [(1024, 256), (16, 20)])
+def test_large_groups_of_variants(spark, bucket_block, block, monkeypatch):
+    monkeypatch.setattr(oddsketch, "BUCKET_BLOCK", bucket_block)
+    monkeypatch.setattr(oddsketch, "BLOCK", block)
     texts = [*variants(1, 80, 4), *variants(2, 60, 8), *variants(3, 60, 5), "same text of only six words"] + ["same TEXT of only six words"] * 30 + ["a b", "a b", "A  b", "b a", "", None]
     random.Random(0).shuffle(texts)
     rows = list(enumerate(texts, 100))
