@@ -1,8 +1,10 @@
 """Quality rules from tokeniser fertility.
 
 Public vocabularies measure each text: characters per token, the share of byte-fallback tokens and
-the entropy of its token distribution. A text is rejected where a measure leaves the band of its
-language or, for languages without a band, of its script. Simple word and line counts go along.
+the entropy of its token distribution. A text is rejected where a measure leaves its band. Each
+script has fixed, wide bands. Each language of the corpus has narrower ones for the characters per
+token, from the medians and median deviations of all its documents; as a mean over few tokens
+varies more, a band narrows with the root of the text's tokens. Simple counts go along.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeforge.llm import shared
 from citeforge.llm.textvec import Flat, Words, column, encode, flat_slices, gather
 from citeforge.llm.wordcoder import coder, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
 
-#: Bands by language or script: least and most characters per token (piece vocabulary, then byte
+#: Bands by script: least and most characters per token (piece vocabulary, then byte
 #: vocabulary), most byte-fallback share, least entropy in bits for a text of ``FULL_TOKENS`` or
 #: more tokens. Shorter texts need an entropy in proportion to the logarithm of their tokens.
 BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
@@ -31,6 +34,9 @@ BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
     "other": (0.2, 10.0, 0.2, 10.0, 0.90, 2.0),
 }
 FULL_TOKENS = 64
+#: A language's bands reach so many robust deviations, and need so many documents.
+DEVIATIONS = 10.0
+LEAST_DOCS = 50
 
 SCRIPTS = ("other", "latin", "cyrillic", "cjk")
 #: Lead bytes of UTF-8 by script: Latin letters, Cyrillic, and kana, Han and Hangul.
@@ -201,34 +207,60 @@ def measures(docs: DataFrame, pieces: str = PIECES, bytes_: str = BYTES) -> Data
     return rows.mapInArrow(_measured(pieces, bytes_), f"doc_id long, lang string, {MEASURES}")
 
 
-def judge(measured: DataFrame, bands: dict | None = None) -> DataFrame:
-    """Add base_failed, the fertility figures, the band in use and kept."""
-    bands = bands or BANDS
-    known = F.create_map(*[x for k, v in bands.items() for x in (F.lit(k), F.array(*map(F.lit, map(float, v))))])
-    band = F.coalesce(F.try_element_at(known, "lang"), F.try_element_at(known, "script"), F.try_element_at(known, F.lit("other")))
-    least = lambda k: F.element_at(F.col("band"), k)
-    ratio = lambda n: F.coalesce(F.try_divide(F.col("word_chars").cast("double"), F.col(n)), F.lit(0.0))
-    out = measured.withColumns(
-        {
-            "band": band,
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "chars_per_piece": ratio("n_piece_tokens"),
-            "chars_per_byte_token": ratio("n_byte_tokens"),
-            "fallback_share": F.coalesce(F.try_divide(F.col("n_fallback").cast("double"), F.col("n_piece_tokens")), F.lit(0.0)),
-        }
-    )
+RATIOS = {"chars_per_piece": "n_piece_tokens", "chars_per_byte_token": "n_byte_tokens"}
+
+
+def with_figures(measured: DataFrame) -> DataFrame:
+    """Add base_failed and the ratios that the bands are about; ratios without tokens are 0."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    figures = {name: ratio("word_chars", n) for name, n in RATIOS.items()}
+    return measured.withColumns({"base_failed": failed, "fallback_share": ratio("n_fallback", "n_piece_tokens"), **figures})
+
+
+def _deviation(name: str) -> Column:
+    """How far a ratio is from its language's middle, in units that do not depend on the length."""
+    return (F.col(name) - F.col(f"{name}_middle")) * F.sqrt(F.col(RATIOS[name]))
+
+
+def language_bands(figures: DataFrame) -> DataFrame:
+    """(lang, middle and scale of each ratio) for languages of ``LEAST_DOCS`` documents or more.
+
+    Medians come from mergeable sketches, so a language that has most of the rows is no hot key.
+    """
+    rows = figures.where("not base_failed and lang is not null and n_piece_tokens > 0")
+    half = lambda c: F.percentile_approx(c, 0.5, 1000)
+    middles = rows.groupBy("lang").agg(F.count("*").alias("n"), *[half(F.col(r)).alias(f"{r}_middle") for r in RATIOS]).where(F.col("n") >= LEAST_DOCS).drop("n")
+    middles = shared.materialize(middles, "middles")
+    spread = rows.join(shared.small(middles), "lang").groupBy("lang").agg(*[(1.4826 * half(F.abs(_deviation(r)))).alias(f"{r}_scale") for r in RATIOS])
+    return middles.join(shared.small(spread), "lang")
+
+
+def judge(figures: DataFrame, bands: DataFrame, scripts: dict | None = None) -> DataFrame:
+    """Add kept: false if the base failed, else whether all measures lie in their bands."""
+    known = F.create_map(*[x for k, v in (scripts or BANDS).items() for x in (F.lit(k), F.array(*map(F.lit, map(float, v))))])
+    band = F.coalesce(F.try_element_at(known, "script"), F.try_element_at(known, F.lit("other")))
+    rows = figures.join(shared.small(bands), "lang", "left").withColumn("band", band)
+    at = lambda k: F.element_at(F.col("band"), k)
     scale = F.least(F.lit(1.0), F.log2(F.greatest(F.col("n_piece_tokens"), F.lit(1))) / F.log2(F.lit(float(FULL_TOKENS))))
-    good = (
-        F.col("chars_per_piece").between(least(1), least(2))
-        & F.col("chars_per_byte_token").between(least(3), least(4))
-        & (F.col("fallback_share") <= least(5))
-        & (F.col("piece_entropy") >= least(6) * scale)
-    )
-    return out.withColumn("kept", ~F.col("base_failed") & good).drop("band")
+    good = (F.col("fallback_share") <= at(5)) & (F.col("piece_entropy") >= at(6) * scale)
+    for i, r in enumerate(RATIOS):
+        usual = F.coalesce(F.abs(_deviation(r)) <= DEVIATIONS * F.col(f"{r}_scale"), F.lit(True))
+        good = good & F.col(r).between(at(2 * i + 1), at(2 * i + 2)) & usual
+    return rows.withColumn("kept", ~F.col("base_failed") & good).drop("band", *[f"{r}_{x}" for r in RATIOS for x in ("middle", "scale")])
+
+
+def judge_documents(docs: DataFrame, pieces: str = PIECES, bytes_: str = BYTES) -> DataFrame:
+    """Measure all documents, take the languages' bands from them, and judge each one.
+
+    The measures, a few numbers a document, are written once and read for the bands and verdicts.
+    """
+    figures = with_figures(shared.materialize(measures(docs, pieces, bytes_), "measures"))
+    return judge(figures, language_bands(figures))
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge all documents."""
-    out = judge(measures(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*counts, "chars_per_piece", "chars_per_byte_token", "fallback_share", "piece_entropy")

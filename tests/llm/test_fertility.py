@@ -24,7 +24,7 @@ def brute(text):
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_counts_equal_brute_force(table, request):
     df = request.getfixturevalue(table)
-    got = ft.judge(ft.measures(df)).collect()
+    got = ft.judge_documents(df).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
     ours = sorted(((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got), key=key)
     assert ours == sorted(((r.doc_id, brute(r.text)) for r in df.collect()), key=key)
@@ -54,9 +54,20 @@ def test_random_strings_are_rejected(spark):
 
     junk = " ".join(base64.b85encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(30))
     prose = "Every evening the old gardener walked slowly through the quiet orchard, counting apples and humming songs from his childhood."
-    got = ft.judge(ft.measures(spark.createDataFrame([(1, junk), (2, prose)], "doc_id long, text string"))).collect()
+    got = ft.judge_documents(spark.createDataFrame([(1, junk), (2, prose)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.kept for r in got} == {1: False, 2: True}
 
 
 def test_empty_table(empty):
-    assert ft.judge(ft.measures(empty)).collect() == []
+    assert ft.judge_documents(empty).collect() == []
+
+
+def test_a_language_has_its_own_bands(spark, docs):
+    """Symbol-laden text of a known language leaves the language's band, not the script's."""
+    prose = docs.where("lang = 'en'").select("doc_id", "text", "lang")
+    first = prose.orderBy("doc_id").first().text
+    noisy = " ".join(w + "".join(c for c in "#%&*")[i % 3 :] * 2 for i, w in enumerate(first.split()))
+    rows = prose.union(spark.createDataFrame([(10**6, noisy, "en"), (10**6 + 1, noisy, "xx")], "doc_id long, text string, lang string"))
+    out = {r.doc_id: r for r in ft.judge_documents(rows).where("not base_failed").collect()}
+    assert not out[10**6].kept and out[10**6 + 1].kept
+    assert all(r.kept for r in out.values() if r.n_symbols < 0.05 * r.n_words and r.n_words >= 20)
