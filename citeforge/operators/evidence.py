@@ -124,7 +124,8 @@ def retrieve_spans(questions: DataFrame, spans: DataFrame, top_k: int = 2) -> Da
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "span_id")
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("rank")
     # Among the smallest top_k ids and the best ones there are enough rows to fill every question.
-    fill = questions.select("question_id").join(F.broadcast(spans.select("span_id").orderBy("span_id").limit(top_k)))
+    first = [r[0] for r in spans.select("span_id").distinct().orderBy("span_id").limit(top_k).collect()]
+    fill = questions.select("question_id", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("span_id"))
     fill = fill.join(met, ["question_id", "span_id"], "left_anti").withColumn("score", F.lit(0.0))
     more = fill.unionByName(best)
     return more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,16 +15,30 @@ LABELS = ["entailed", "partially_supported", "unsupported", "contradictory", "in
 AUDIT_PRIORITY = ["contradictory", "partially_supported", "unsupported", "insufficient_evidence", "entailed"]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint, so that all that is built on it sees the same partitions.
+
+    The folder is the session's own; one is set only for local sessions that have none.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Consecutive numbers from 1 over all rows by ``order``, without one task seeing all rows.
 
     Rows are range-partitioned, numbered in each partition, and shifted by the partitions before.
     """
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    spread = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.drop("_size")), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+    before = F.broadcast(before.drop("_size"))  # a row for each partition
+    return local.join(before, "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def annotation_rows(records: DataFrame, include_invalid: bool = False) -> DataFrame:
