@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeforge.llm import shared
 from citeforge.llm.textvec import column, flat_slices
 
 WINDOW = 128
@@ -124,8 +125,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows_each: int = S
     texts, from places set by the id's hash.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null")
-    order = F.xxhash64(F.col("doc_id"))
-    ids = [r[0] for r in rows.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(sample_docs).collect()]
+    ids = shared.sample_ids(rows, sample_docs)
     if not ids:
         return None
     place = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeforge.llm import shared
+
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the base kinds; the second group of the first one is the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,8 +43,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     strings = spark.range(RANDOM_STRINGS).select(F.explode(F.array(base64, F.regexp_replace(base64, "[+/]", "x"), F.upper(F.translate(base64, "+/", "07")), digest)).alias("text"))
     usable = docs.where("text is not null and doc_id is not null")
-    order = F.xxhash64("doc_id")
-    ids = [r[0] for r in usable.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    ids = shared.sample_ids(usable, SAMPLE_DOCS)
     words = usable.where(F.col("doc_id").isin(ids)).select(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
     n = F.size("w")
     after = F.slice("w", 2, F.greatest(n, F.lit(1)))

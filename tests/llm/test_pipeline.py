@@ -4,6 +4,7 @@ from test_markov import brute as base_secrets
 from test_odd_sketch import brute as groups
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,12 @@ def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
             if i < 4:
                 assert spark.read.parquet(f"{tmp_path}/{name}{i}").columns == table.columns
                 table = spark.read.parquet(f"{tmp_path}/{name}{i}")
+
+
+def test_sample_ids(spark):
+    from citeforge.llm import shared
+
+    rows = spark.range(50_000).select((F.col("id") % 40_000).alias("doc_id"))
+    every = [r[0] for r in rows.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).limit(100).collect()]
+    assert shared.sample_ids(rows, 100) == every
+    assert len(shared.sample_ids(rows, 100_000)) == 40_000
