@@ -17,6 +17,7 @@ all of the cluster, block by block, so that no link between different components
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ LONGS = 8  # 512 bits of odd sketch
 #: Pairs whose estimate is lower are dropped; at a true similarity of 0.75 this is 5 deviations off.
 LEAST_ESTIMATE = 0.5
 BUCKET_BLOCK = 1024  # members of a bucket that are compared by sketches in one task
+BRANCHES = 16  # that a member of a forest gets before others have theirs
 BLOCK = 256  # classes of a cluster that are compared by full sets in one task
 
 _SEEDS = np.random.default_rng(20240229)
@@ -209,13 +211,17 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = int(np.where(near[u], ones[u], 64 * LONGS).argmin())
             out.append((int(node[u]), int(node[v])))
         while left.any():
-            stack = [int(np.flatnonzero(left)[0])]
-            left[stack[0]] = False
-            while stack:
-                u = stack.pop()
+            start = int(np.flatnonzero(left)[0])
+            left[start] = False
+            queue = deque([start])
+            while queue:  # few branches at a time, so that no member becomes the hub of a large group
+                u = queue.pop()
                 fresh = np.flatnonzero(near[u] & left)
+                if len(fresh) > BRANCHES:
+                    queue.appendleft(u)
+                    fresh = fresh[:BRANCHES]
                 left[fresh] = False
-                stack += fresh.tolist()
+                queue.extend(fresh.tolist())
                 out += [(int(node[u]), int(node[v])) for v in fresh]
         if len(out) > 20_000:
             yield _pairs_batch(out)
@@ -305,12 +311,10 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if not large.isEmpty():
         wide = clusters.join(sizes.where(F.col("n") > BLOCK), "cluster")
         near = pairs.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
-        first = wide.groupBy("cluster").agg(F.min("node").alias("b"))
-        stars = wide.join(first, "cluster").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        links = shared.materialize(_confirmed(near.union(stars).distinct(), large), "links")
+        links = shared.materialize(_confirmed(near, large), "links")
         parts = large.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         main = parts.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-        parts = shared.materialize(parts.join(F.broadcast(main), "cluster").withColumn("outside", F.col("component") != F.col("main")), "parts")  # at most one main for each BLOCK classes
+        parts = shared.materialize(parts.join(shared.small(main), "cluster").withColumn("outside", F.col("component") != F.col("main")), "parts")
         dealt = dealt.unionByName(_outside_against_all(parts, kept))
     rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     found = shared.materialize(rows.mapInArrow(_exact, PAIRS), "links")
@@ -325,7 +329,7 @@ def _outside_against_all(parts: DataFrame, kept: list[str]) -> DataFrame:
     """
     count = lambda c: F.ceil(F.sum(c.cast("long")) / BLOCK)
     sizes = parts.groupBy("cluster").agg(count(F.col("outside")).alias("k"), count(~F.col("outside")).alias("m")).where("k > 0")
-    rows = parts.join(F.broadcast(sizes), "cluster")  # a row for each large cluster
+    rows = parts.join(shared.small(sizes), "cluster")
     h = F.xxhash64("node")
     rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.greatest("m", F.lit(1)))))
     last = F.when(F.col("outside"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
