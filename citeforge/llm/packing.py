@@ -164,7 +164,7 @@ def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, bucket_windows:
     The number of buckets follows the total of ids, so a bucket's size does not depend on the
     input's; pieces are dealt to buckets by the hash of their number, whatever document they are
     of. Sequence ids are unique, not consecutive: bucket times 2^20 plus window for packed
-    sequences, and negative, by piece number, for full windows.
+    sequences, and 2^62 plus the piece's number for full windows.
     """
     full = F.col("length") == capacity
     rest = pieces.where(~full)
@@ -174,7 +174,7 @@ def assign_windows(pieces: DataFrame, capacity: int = CAPACITY, bucket_windows:
     names = [c for c in pieces.columns if c != "piece"]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "piece")
     packed = dealt.groupBy("bucket").applyInArrow(_pack(capacity), f"{types}, sequence_id long, offset long")
-    whole = pieces.where(full).select(*names, (-1 - F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.where(full).select(*names, (F.lit(1 << 62) + F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)
 
 
