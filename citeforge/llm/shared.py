@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def base_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only where none is set and Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return base.rstrip("/")
 
 
