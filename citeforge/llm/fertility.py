@@ -63,7 +63,7 @@ MEASURES = (
 class PieceCoder:
     """SentencePiece ids of words; keeps those of the first ``most`` distinct words."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
 
         self.model, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: ASCII white space: 0x09-0x0D and 0x20.
 _INSIDE = bytes(c not in b" \t\n\v\f\r" for c in range(256))
@@ -113,6 +113,7 @@ def flat_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         b = min(b, len(column))
         yield a, b, Flat(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

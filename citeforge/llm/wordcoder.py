@@ -74,7 +74,7 @@ def _taken(ids: np.ndarray, begin: np.ndarray, length: np.ndarray, codes: np.nda
 class WordCoder:
     """Encodes slices of texts; keeps the ids of the first ``most`` distinct pieces that it meets."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
