@@ -7,6 +7,7 @@ empty. A single text may exceed the bound; it is then a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,14 @@ _INSIDE = bytes(c not in b" \t\n\v\f\r" for c in range(256))
 _LOWER = bytes(range(256)).lower()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that workers that wait for tasks stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class Flat:
     """The texts of consecutive rows in one buffer; row i is ``data[offs[i]:offs[i + 1]]``."""
 
@@ -113,7 +122,7 @@ def flat_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         b = min(b, len(column))
         yield a, b, Flat(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         a = b
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
