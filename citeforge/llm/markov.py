@@ -2,8 +2,9 @@
 
 All on DataFrame functions. Two first-order models over the characters of tokens, one of random
 strings and one of ordinary identifiers, are trained from labelled samples. A token of ``LEAST``
-characters or more is a secret where the random model is more likely by ``MARGIN`` nats a character.
-Spans of the patterns stay as they are; the models add spans that overlap none of these.
+characters or more is a secret where the random model is more likely by ``MARGIN`` nats a character,
+and so is every part of ``LEAST`` characters or more of a token for which that holds. Spans of the
+patterns stay as they are; the models add spans that overlap none of these.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ _NONE = f"cast(array() as {_SPAN})"
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(text, random): hash digests in several alphabets; words of documents, and pairs of words
-    joined as in code and paths; runs of one character, which are not random either."""
+    joined as in code and paths; numbers alone and after words; runs of one character, which are not
+    random either."""
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    strings = spark.range(RANDOM_STRINGS).select(F.explode(F.array(base64, F.regexp_replace(base64, "[+/]", "x"), F.upper(F.translate(base64, "+/", "07")), digest)).alias("text"))
+    strings = spark.range(RANDOM_STRINGS).select(F.explode(F.array(base64, F.regexp_replace(base64, "[+/]", "x"), F.translate(base64, "+/", "-_"), F.upper(F.translate(base64, "+/", "07")), digest)).alias("text"))
     usable = docs.where("text is not null and doc_id is not null")
     ids = shared.sample_ids(usable, SAMPLE_DOCS)
     words = usable.where(F.col("doc_id").isin(ids)).select(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
@@ -55,14 +57,17 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     camel = F.zip_with("w", after, lambda a, b: F.concat(a, F.initcap(F.coalesce(b, F.lit("")))))
     ordinary = words.select(F.explode(F.concat("w", camel, *joined, F.transform("w", F.upper))).alias("text"))
     runs = spark.range(SIZE).select(F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)), F.lit(200)).alias("text"))
-    return strings.select("text", F.lit(True).alias("random")).union(ordinary.union(runs).select("text", F.lit(False).alias("random")))
+    number = lambda k: F.substring(F.conv(F.substring(digest, k, 14), 16, 10), 1, 4 + k % 13)
+    numbers = spark.range(RANDOM_STRINGS).select(F.explode(F.array(*[F.concat_ws(m, F.lit("id"), number(1), number(17), number(33)) for m in "/_-="])).alias("text"))
+    return strings.select("text", F.lit(True).alias("random")).union(ordinary.union(numbers).union(runs).select("text", F.lit(False).alias("random")))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of all character pairs, row by row, from (text, random) samples.
 
     Pairs are counted in Spark; at most 2 x 67 x 67 counts reach the driver. Pairs that a model has
-    not seen have the probability of half an occurrence. Without samples all ratios are 0.
+    not seen have the probability of half an occurrence. A character's repeat or successor never
+    speaks for the random model, as in runs and listed alphabets. Without samples all ratios are 0.
     """
     chars = F.split(F.col("text"), "")
     pairs = samples.where(F.length("text") > 1).select("random", F.explode(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.length("text"), F.lit(1))), lambda a, b: F.concat(a, b))).alias("pair"))
@@ -75,7 +80,8 @@ def train(samples: DataFrame) -> list[float]:
     for i in range(SIZE):
         random, ordinary = counts[True][i], counts[False][i]
         a, b = sum(random), sum(ordinary)
-        out += [math.log(random[j] / a) - math.log(ordinary[j] / b) for j in range(SIZE)]
+        row = [math.log(random[j] / a) - math.log(ordinary[j] / b) for j in range(SIZE)]
+        out += [min(x, 0.0) if j in (i, i + 1) else x for j, x in enumerate(row)]
     return out
 
 
@@ -84,12 +90,72 @@ def _array(values, kind: str) -> Column:
     return F.expr(f"cast(split('{','.join(f'{v:.5g}' for v in values)}', ',') as array<{kind}>)")
 
 
-def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
-    """Nats by which the random model is the likelier one for a token of the alphabet."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def ratio_steps(token: Column, ratios: list[float]) -> Column:
+    """Nats by which the random model is the likelier one, for each pair of a token's characters."""
     place = [ALPHABET.find(chr(c)) for c in range(128)]
     codes = F.transform(F.split(token, ""), lambda c: F.get(_array(place, "int"), F.ascii(c)))
-    steps = F.zip_with(codes, F.slice(codes, 2, F.greatest(F.length(token), F.lit(1))), lambda a, b: F.get(_array(ratios, "double"), a * SIZE + b))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    pair = lambda a, b: F.get(_array(ratios, "double"), a * SIZE + b)
+    return _let(codes, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.coalesce(pair(a, b), F.lit(0.0))))
+
+
+#: Less than any sum of steps; a step of a base span's character.
+_NEVER, _TAKEN = -1e15, -1e6
+
+
+def best_parts(steps: Column) -> Column:
+    """(a, e): places in a token of its best disjoint parts of ``LEAST`` characters or more whose
+    steps sum to 0 or more; e is past the end. One pass: a sum over the last ``LEAST`` - 1 steps
+    starts a part, the greatest sum that ends at each step lengthens it, and a second one, of parts
+    behind the best one so far, closes that one.
+    """
+    width = LEAST - 1
+    older = F.concat(F.array_repeat(F.lit(0.0), width), steps)
+    zero = F.expr(f"named_struct('i', 0, 'w', 0.0D, 'b', {_NEVER}D, 'a', 0, 'c', {_NEVER}D, 'ca', 0, 'peak', -1.0D, 'pa', 0, 'pe', -2, 'out', cast(array() as array<struct<a:int,e:int>>))")
+
+    def closed(z: Column) -> Column:
+        return F.concat(z["out"], F.array(F.struct(z["pa"].alias("a"), (z["pe"] + 2).alias("e"))))
+
+    def step(z: Column, x: Column) -> Column:
+        w, first = z["w"] + x["d"] - x["o"], z["i"] - (width - 1)
+        fresh = F.when(first >= 0, w).otherwise(_NEVER)
+        behind = F.when((first >= 0) & (first >= z["pe"] + 2), w).otherwise(_NEVER)
+        b, c = z["b"] + x["d"], z["c"] + x["d"]
+        grown = F.struct(
+            w.alias("w"),
+            F.greatest(b, fresh).alias("b"),
+            F.when(fresh > b, first).otherwise(z["a"]).alias("a"),
+            F.greatest(c, behind).alias("c"),
+            F.when(behind > c, first).otherwise(z["ca"]).alias("ca"),
+        )
+
+        def decide(n: Column) -> Column:
+            known = z["peak"] >= 0
+            up = (n["b"] >= 0) & (n["b"] > z["peak"])
+            split = ~up & known & (n["c"] >= 0)
+            pick = lambda x, y, z: F.when(up, x).when(split, y).otherwise(z)
+            done = split | (up & known & (n["a"] >= z["pe"] + 2))
+            return F.struct(
+                (z["i"] + 1).alias("i"),
+                n["w"].alias("w"),
+                F.when(split, n["c"]).otherwise(n["b"]).alias("b"),
+                F.when(split, n["ca"]).otherwise(n["a"]).alias("a"),
+                F.when(up | split, F.lit(_NEVER)).otherwise(n["c"]).alias("c"),
+                n["ca"].alias("ca"),
+                pick(n["b"], n["c"], z["peak"]).alias("peak"),
+                pick(n["a"], n["ca"], z["pa"]).alias("pa"),
+                pick(z["i"], z["i"], z["pe"]).alias("pe"),
+                F.when(done, closed(z)).otherwise(z["out"]).alias("out"),
+            )
+
+        return _let(grown, decide)
+
+    pairs = F.zip_with(steps, F.slice(older, 1, F.size(steps)), lambda d, o: F.struct(d.alias("d"), o.alias("o")))
+    return F.aggregate(pairs, zero, step, lambda z: F.when(z["peak"] >= 0, closed(z)).otherwise(z["out"]))
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -117,16 +183,51 @@ def base_spans(text: Column) -> Column:
 
 
 def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
-    """Tokens that the models call random and that overlap no base span."""
-    tokens = matches(text, TOKEN, 3)
+    """Tokens, or parts of them, that the models call random and that overlap no base span.
 
-    def secret(s: Column) -> Column:
-        v = s["value"]
-        mixed = v.rlike("[A-Za-z]") & (v.rlike("[0-9]") | v.rlike("[a-z][A-Z]"))
-        apart = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return mixed & apart & (likelihood_ratio(v, ratios) >= MARGIN * (F.length(v) - 1))
+    A token that is random as a whole is one span. In others, and beside base spans, each part of
+    ``best_parts`` is one, together with the letters and digits that it touches.
+    """
 
-    return F.filter(tokens, secret)
+    def spans_of(s: Column) -> Column:
+        v, size = s["value"], F.length(s["value"])
+        near = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return _let(F.struct(near.alias("near"), F.transform(ratio_steps(v, ratios), lambda x: x - MARGIN).alias("steps")), lambda t: judged(s, v, size, t["near"], t["steps"]))
+
+    def judged(s: Column, v: Column, size: Column, near: Column, steps: Column) -> Column:
+        apart = F.size(near) == 0
+        whole = apart & (F.aggregate(steps, F.lit(0.0), lambda z, x: z + x) >= 0)
+        taken = F.transform(steps, lambda x, i: F.when(F.exists(near, lambda b: (b["start"] <= s["start"] + i + 1) & (s["start"] + i < b["end"])), F.lit(_TAKEN)).otherwise(x))
+        parts = best_parts(F.when(apart, steps).otherwise(taken))
+        return F.when(whole, F.array(s)).otherwise(_let(parts, lambda p: merged(F.transform(p, lambda x, k: widened(s, v, size, near, p, x, k)), s)))
+
+    def widened(s: Column, v: Column, size: Column, near: Column, parts: Column, x: Column, k: Column) -> Column:
+        """The part with the letters and digits before and after it, up to its neighbours."""
+        before = F.transform(F.filter(near, lambda b: b["end"] <= s["start"] + x["a"]), lambda b: (b["end"] - s["start"]).cast("int"))
+        after = F.transform(F.filter(near, lambda b: b["start"] >= s["start"] + x["e"]), lambda b: (b["start"] - s["start"]).cast("int"))
+        low = F.greatest(F.lit(0), F.array_max(before), F.get(parts, k - 1)["e"])
+        high = F.least(size, F.array_min(after), F.get(parts, k + 1)["a"])
+        run = lambda piece: F.length(F.regexp_extract(piece, "^[A-Za-z0-9]*", 0))
+        a = x["a"] - run(F.reverse(v.substr(low + 1, x["a"] - low)))
+        e = x["e"] + run(v.substr(x["e"] + 1, high - x["e"]))
+        return F.struct(a.alias("a"), e.alias("e"))
+
+    def merged(parts: Column, s: Column) -> Column:
+        """Spans of the parts; those that touch are one."""
+        none = F.expr("cast(array() as array<struct<a:int,e:int>>)")
+
+        def add(z: Column, x: Column) -> Column:
+            last = F.element_at(z, -1)
+            joined = F.concat(F.slice(z, 1, F.size(z) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["e"], x["e"]).alias("e"))))
+            return F.when(F.size(z) == 0, F.array(x)).when(last["e"] >= x["a"], joined).otherwise(F.concat(z, F.array(x)))
+
+        def span(x: Column) -> Column:
+            value = s["value"].substr(x["a"] + 1, x["e"] - x["a"])
+            return F.struct((s["start"] + x["a"]).alias("start"), s["kind"].alias("kind"), (s["start"] + x["e"]).alias("end"), value.alias("value"))
+
+        return F.transform(F.aggregate(parts, none, add), span)
+
+    return F.flatten(F.transform(matches(text, TOKEN, 3), spans_of))
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 import base64
 import hashlib
+import random
 import re
+import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +54,32 @@ def test_random_strings_are_added(spark, docs):
     assert all(s.kind != 3 for i in range(len(secrets), len(rows)) for s in out[i])
 
 
+def test_random_parts_of_tokens_are_added(spark, docs):
+    ratios = markov.train(markov.labelled_samples(docs))
+    draw = random.Random(3)
+    word = lambda n, letters=string.ascii_letters + string.digits: "".join(draw.choice(letters) for _ in range(n))
+    hexes = "0123456789abcdef"
+    made = {
+        "equals": [("mail_signing_credential=", word(20), "") for _ in range(50)],
+        "path": [("/internal/services/production/credentials/", word(24), "/and/other/words/behind") for _ in range(50)],
+        "upper": [("", word(32, string.ascii_uppercase), "") for _ in range(50)],
+        "lower": [("", word(32, string.ascii_lowercase), "") for _ in range(50)],
+        "beside": [(f"checksum={word(32, hexes)}/", word(24), "") for _ in range(50)],
+        "second": [(f"first_key={word(24)}_and_the_second_credential_in_here=", word(24), "") for _ in range(50)],
+    }
+    plain = ["/archive/2024/01/15/report-2024-final-version", "orders/2024/01/15/12345678901234567890/items", "MAX_BUFFER_SIZE_IN_BYTES_PER_NODE", string.ascii_uppercase]
+    rows = [(name, *parts) for name, all_parts in made.items() for parts in all_parts] + [("plain", "", x, "") for x in plain]
+    texts = [(i, f"see {a}{s}{b} here") for i, (_, a, s, b) in enumerate(rows)]
+    out = {r.doc_id: r for r in markov.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), ratios).collect()}
+    hits = Counter()
+    for i, (name, a, s, _) in enumerate(rows):
+        start, end = 4 + len(a), 4 + len(a) + len(s)
+        hits[name] += any(x.kind == 3 and x.start <= start and end <= x.end for x in out[i].all_spans)
+        assert all(b.end <= x.start or x.end <= b.start for b in out[i].base_spans for x in out[i].all_spans if x.kind == 3)
+        assert all(texts[i][1][x.start : x.end] == x.value for x in out[i].all_spans if x.kind == 3)
+    assert hits["plain"] == 0 and all(hits[name] >= 47 for name in made)
+
+
 def test_redaction(spark):
     rows = [(1, TRICKY[2]), (2, None), (3, "nothing here"), (4, "é password=abcdefg")]
     found = markov.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), [0.0] * markov.SIZE**2)
