@@ -5,8 +5,8 @@ card and phone; all other tokens are O. A node's own potential is the log-probab
 given its shape, from counts over the whole corpus in which the patterns' matches are the labels;
 a token inside a match gets strong evidence for it. Neighbouring nodes share transition potentials.
 Repeated tokens, and distant tokens with the same digits, share skip-edge potentials that favour
-one label, as strongly as the corpus agrees. Loopy sum-product message passing runs over all
-documents of a slice at once. A run of nodes whose most probable label is the entity of a match
+one label, as strongly as the corpus agrees; a match gives its label to each token that equals one
+of its own. Loopy sum-product message passing runs over all documents of a slice at once. A run of nodes whose most probable label is the entity of a match
 elsewhere in the same document, tied to it by a skip edge, becomes a span of its own.
 """
 
@@ -38,6 +38,11 @@ EVIDENCE = 8.0
 #: Least log-potential of a skip edge for equal labels: where the patterns miss a repeated entity,
 #: their labels disagree, so counts understate how often such tokens belong together.
 LEAST_TIE = 4.0
+#: Share of a shape's occurrences that each label gets besides its own, at every size of the corpus.
+SHARE = 0.001
+#: Most nats by which a node tied to a match may speak against a label; less than any tie, so that
+#: a shape that the patterns never match is no proof, however often it comes.
+MOST_AGAINST = 3.0
 ROUNDS = 12
 LEAST_KEY = 4  # digits that make two tokens the same
 
@@ -110,6 +115,24 @@ class Nodes:
         self.skips = [pair for ks in by_key.values() for pair in zip(ks, ks[1:], strict=False)]
         self.groups = list(by_key.values())
 
+    def ties(self) -> tuple[list[tuple[int, int]], dict[int, int]]:
+        """Skip edges of the field, and the label that a match gives each token that equals it.
+
+        Where some of the equal tokens lie in matches, these form the chain, and each other token
+        is tied to the last match before it, else to the first one. The match's label is known, so
+        no number of other tokens can outvote it, and no tie is further than one edge.
+        """
+        edges, near = [], {}
+        for ks in self.groups:
+            matched = [k for k in ks if self.labels[k]]
+            edges += zip(matched or ks, (matched or ks)[1:], strict=False)
+            last = self.labels[matched[0]] if matched else 0
+            for k in ks if matched else ():
+                last = self.labels[k] or last
+                if not self.labels[k]:
+                    near[k] = last
+        return edges, near
+
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
     """(row, text) of a batch; None for texts without any digit, at sign or plus."""
@@ -152,7 +175,7 @@ class Model:
                 chain[int(name), label] += n
             else:
                 {"left": left, "right": right, "skip": skip}[part][label] += n
-        self.shapes = {k: np.log(v / v.sum()) for k, v in totals.items()}
+        self.shapes = {k: np.log((v + SHARE * v.sum()) / (v.sum() * (1 + SHARE * size))) for k, v in totals.items()}
         self.unseen = np.log(np.array([0.9] + [0.1 / (size - 1)] * (size - 1)))
         #: Transitions relative to the labels' own shares, which the shapes account for already.
         share = np.log((own := chain.sum(0) + left) / own.sum())
@@ -231,12 +254,17 @@ def _find(model: Model, least: float):
         """Base and added spans of texts whose nodes form one field."""
         own, chain, skips, at = [], [], [], 0
         for _, nodes in batch:
+            edges, near = nodes.ties()
             for k, (_, _, token) in enumerate(nodes.tokens):
                 x = model.shapes.get(shape(token), model.unseen).copy()
                 x[nodes.labels[k]] += EVIDENCE if nodes.labels[k] else 0
-                own.append(x + model.left * nodes.lonely_left[k] + model.right * nodes.lonely_right[k])
+                x += model.left * nodes.lonely_left[k] + model.right * nodes.lonely_right[k]
+                if k in near:
+                    x = np.maximum(x, x.max() - MOST_AGAINST)
+                    x[near[k]] += model.skip
+                own.append(x)
             chain += [(a + at, b + at) for a, b in nodes.chain]
-            skips += [(a + at, b + at) for a, b in nodes.skips]
+            skips += [(a + at, b + at) for a, b in edges]
             at += len(nodes.tokens)
         pairs = lambda x: np.array(x, int).reshape(-1, 2)
         p, at = marginals(model, np.array(own).reshape(-1, len(KINDS) + 1), pairs(chain), pairs(skips)), 0

@@ -36,6 +36,22 @@ def test_repeated_number_is_found_again(spark):
         assert [sc.KINDS[s.kind] for s in r.spans] == ["email", "phone", "phone"]
 
 
+@pytest.mark.parametrize("n", [20, 10**4, 10**8])
+def test_repeats_are_found_at_every_size_of_the_corpus(spark, n):
+    forms = {"phone": ("+49301234567", "49301234567"), "card": ("4111 1111 1111 1111", "4111.1111.1111.1111"), "ip": ("10.20.30.40", "10-20-30-40")}
+    texts = [f"see {a} there. " + f"Then {b} once more. " * 15 for a, b in forms.values()]
+    texts[1] = "see 4111111111111111 there. " + "Then 4111.1111.1111.1111 once more. " * 15
+    rows = [("shape", sc.shape(b), 0, n) for _, b in forms.values()]
+    rows += [("shape", sc.shape(a), y, n) for a, y in (("+49301234567", 4), ("4111111111111111", 3), ("10.20.30.40", 2))]
+    rows += [(side, "0", y, n) for side in ("left", "right") for y in range(5)] + [("chain", "0", 0, n)]
+    rows += [("skip", "", same, n) for same in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "see 49301234567 and 49301234567 alone"])), "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in sc.find_spans(docs, sc.Model(rows)).collect()}
+    for i, name in enumerate(forms):
+        assert [sc.KINDS[s.kind] for s in out[i]] == [name] * 16 and sum(not s.base for s in out[i]) == 15
+    assert out[3] == []
+
+
 def test_clean_text_gets_no_spans(spark):
     docs = spark.createDataFrame([(1, "Order 12345 of 2024 came with 3 parts, no 12345 again.")], "doc_id long, text string")
     assert sc.find_spans(docs).first().spans == []
