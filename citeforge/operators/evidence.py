@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
+from citeforge.operators.judging import with_group_ordinal
 
 
 def ledger_documents(docs: DataFrame) -> DataFrame:
@@ -28,16 +29,20 @@ def ledger_spans(documents: DataFrame) -> DataFrame:
 
 
 def index_documents(corpus: DataFrame) -> DataFrame:
-    """Documents of the index: dense ids by source_doc_id in each dataset and split, token counts."""
-    order = Window.partitionBy("dataset_id", "split").orderBy("source_doc_id")
-    return corpus.select(
+    """Documents of the index: dense ids by source_doc_id in each dataset and split, token counts.
+
+    Texts are hashed and counted where they are read; they are not shuffled.
+    """
+    rows = corpus.select(
         "dataset_id",
         "split",
         "source_doc_id",
-        (F.row_number().over(order) - 1).cast("long").alias("internal_doc_id"),
         T.sha256(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("token_count"),
     )
+    numbered = with_group_ordinal(rows, ["dataset_id", "split"], ["source_doc_id"], "_n")
+    ident = (F.col("_n") - 1).cast("long").alias("internal_doc_id")
+    return numbered.select("dataset_id", "split", "source_doc_id", ident, "text_hash", "token_count")
 
 
 def postings(corpus: DataFrame, *keys: str) -> DataFrame:
@@ -58,13 +63,21 @@ def posting_blocks(posted: DataFrame, *keys: str, block: int = 1024) -> DataFram
     return rows.groupBy(*keys, "token", "block").agg(F.sort_array(F.collect_list(entry)).alias("postings"))
 
 
-def digest_tree(rows: DataFrame, order: str, value: Column, *keys: str, width: int = 1024, levels: int = 3) -> DataFrame:
+def ordered_digest(rows: DataFrame, order: str, value: Column, *keys: str) -> DataFrame:
+    """``digest_tree`` of rows by ``order``; digests alone are shuffled to number the leaves."""
+    leaves = rows.select(*keys, order, T.sha256(value).alias("_leaf"))
+    numbered = with_group_ordinal(leaves, list(keys), [order], "_n").withColumn("_n", F.col("_n") - 1)
+    return digest_tree(numbered, "_n", None, *keys, digest="_leaf")
+
+
+def digest_tree(rows: DataFrame, order: str, value: Column | None, *keys: str, digest: str | None = None, width: int = 1024, levels: int = 3) -> DataFrame:
     """Order-sensitive digest of each group of rows as a hash tree of ``width`` leaves a node.
 
-    Leaves are numbered from 0 by ``order``; a level hashes the joined digests of its children. No
+    Leaves are numbered from 0 by ``order``, and ``digest`` names their hashes where these are there
+    already; a level hashes the joined digests of its children. No
     task ever holds more than ``width`` digests of a group.
     """
-    level = rows.select(*keys, F.col(order).alias("_at"), T.sha256(value).alias("_digest"))
+    level = rows.select(*keys, F.col(order).alias("_at"), (F.col(digest) if digest else T.sha256(value)).alias("_digest"))
     for _ in range(levels):
         child = F.struct("_at", "_digest")
         grouped = level.groupBy(*keys, F.floor(F.col("_at") / width).alias("_up")).agg(F.sort_array(F.collect_list(child)).alias("_children"))

@@ -41,6 +41,23 @@ def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> Da
     return local.join(before, "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
+def with_group_ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Consecutive numbers from 1 in each group of ``keys`` by ``order``; no task sees a whole large group.
+
+    As ``with_ordinal``, with counts for each partition and group; null keys are a group of their own.
+    """
+    spread = settled(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    sizes = spread.groupBy("_part", *keys).agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    before = before.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(before, same).withColumn(name, F.col("_n") + F.col("_before")).select(*rows.columns, name)
+
+
 def annotation_rows(records: DataFrame, include_invalid: bool = False) -> DataFrame:
     """Rows for annotators from semantic records; valid citations alone unless asked otherwise.
 

@@ -128,10 +128,7 @@ def _tree(levels: int) -> str:
 @query(f"""WITH leaf AS (SELECT source AS dataset_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, doc_id || ':' || coalesce(text, '') AS v FROM documents),
 {_tree(3)} SELECT dataset_id, h AS corpus_hash FROM t3""")
 def corpus_digest(spark, d):
-    from pyspark.sql import Window
-
-    rows = B.corpus(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("dataset_id").orderBy("doc_id")) - 1)
-    return E.digest_tree(rows, "at", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), "dataset_id")
+    return E.ordered_digest(B.corpus(spark, d), "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), "dataset_id")
 
 
 # Retrieval

@@ -168,3 +168,15 @@ def test_pointer_needs_all_parts(spark):
     built = df.select(A.pointer(*[F.col(c) for c in "abcde"]).alias("p"))
     assert built.first().p == "a/b//d/e" and built.select(A.parsed(F.col("p"))).first()[0] is None
     assert df.select(T.first_of(F.col("c"), F.lit(""), F.col("d"))).first()[0] == "d"
+
+
+def test_one_large_group_is_numbered_in_many_tasks(spark):
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(2000).selectExpr("'src' as dataset_id", "if(id < 1900, 'en', null) as split", "lpad(cast(id as string), 6, '0') as source_doc_id", "repeat('word ', 50) as text")
+    spark.conf.set(off, "false")
+    try:
+        out = E.index_documents(rows).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(off)
+    assert len({r.task for r in out if r.split}) > 1
+    assert sorted((r.split or "", r.internal_doc_id, r.source_doc_id) for r in out) == sorted([("en", i, f"{i:06}") for i in range(1900)] + [("", i, f"{1900 + i:06}") for i in range(100)])
