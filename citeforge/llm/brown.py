@@ -1,17 +1,22 @@
 """Language-model scoring by a Brown class bigram.
 
 Word counts of all training documents go to a written vocabulary table. Words that make up at least
-one part in ``HEAD`` of all tokens (so at most ``HEAD`` words) are known to every task; all others
-are looked up by a join. Exchange clustering assigns the most frequent words, and the endings that
-stand for all other words, to classes, from the corpus's adjacent pairs of these symbols. A token's
-probability is its class's transition from the class before, times its emission from its class, both
-smoothed; each document starts and ends with the end token, a class by itself.
+one part in ``HEAD`` of all tokens (so at most ``HEAD`` words) are known to every task and each has
+a class of its own choice; all others are looked up by a join, and their class is that of their
+ending (``Model.outside`` is their share of the tokens). Exchange
+clustering assigns head words and endings to classes from the adjacent pairs of these symbols in
+the whole corpus: first, on the driver, the ``SEED`` most frequent words and all endings; then, in
+rounds over the written contexts of all symbols, every symbol in the tasks. A round proposes the
+best move of each symbol against the same class counts and keeps the moves only if the likelihood
+of the corpus rises, else the better half of them, so it never falls. A token's probability is its
+class's transition from the class before, times its emission from its class, both smoothed; each
+document starts and ends with the end token, a class by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,62 @@ from citeforge.llm import shared
 from citeforge.llm.textvec import column, flat_slices
 
 HEAD = 200_000
-CLUSTERED = 1000  # most frequent words that get a class of their own choice
+SEED = 1000  # most frequent words that the driver clusters first
 ENDINGS = 512  # at most so many endings have a class; they make up one part in ENDINGS of tokens each
 CLASSES = 48
 ENDING_CHARS = 2
+ROUNDS = 10  # of the exchange over all symbols
+LEAST_GAIN = 1e-4  # of the likelihood, below which the exchange ends
 END = " "  # the end token; no word holds a blank
 
 
+def _grow(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def likelihood(between: np.ndarray) -> float:
+    """What class-pair counts say of the corpus's log-likelihood; all else does not depend on classes."""
+    return float(_grow(between).sum() - _grow(between.sum(0)).sum() - _grow(between.sum(1)).sum())
+
+
+def gains(between: np.ndarray, here: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """(symbols, classes): what the likelihood would be with each symbol in each class, up to a
+    number of its own for each symbol.
+
+    ``between`` counts pairs of classes with the symbols where they are, in ``here``; ``after`` and
+    ``before`` are a symbol's counts by the class of other symbols on its right and left, ``itself``
+    its pairs with itself. Only classes that a symbol has beside it matter, so a rare one costs little.
+    """
+    row, itself = np.arange(len(here)), itself[:, None]
+
+    def without(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.repeat(counts[None], len(here), 0)
+        out[row, here] -= own
+        return out
+
+    diagonal = without(np.diag(between), after[row, here] + before[row, here] + itself[:, 0])
+    gain = _grow(diagonal + after + before + itself) - _grow(diagonal)
+    for sums, own in ((between.sum(1), after), (between.sum(0), before)):
+        more = own.sum(1) + itself[:, 0]
+        rest = without(sums, more)
+        gain -= _grow(rest + more[:, None]) - _grow(rest)
+    for cells, own, other in ((between, after, before), (between.T, before, after)):
+        w, c = np.nonzero(own)
+        if not len(w):
+            continue
+        entry, x, at = np.arange(len(w)), own[w, c], here[w]
+        rest = cells.T[c]
+        rest[entry, at] -= x
+        same = np.flatnonzero(c == at)
+        rest[same] -= other[w[same]]
+        rest[same, at[same]] -= itself[w[same], 0]
+        more = _grow(rest + x[:, None]) - _grow(rest)
+        more[entry, c] = 0
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        gain[w[first]] += np.add.reduceat(more, first)
+    return gain
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
     """The class of each symbol, by exchange clustering on adjacent-pair counts (symbols x symbols).
 
@@ -44,32 +98,20 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.
     member = np.zeros((n, classes))
     member[np.arange(n), own] = 1
     between = member.T @ pairs @ member
-    grow = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
     for _ in range(rounds):
         moved = 0
         for w in order:
-            here = own[w]
-            itself = pairs[w, w]
-            after = pairs[w] @ member
-            before = pairs[:, w] @ member
+            here, itself = own[w], pairs[w, w]
+            after, before = pairs[w] @ member, pairs[:, w] @ member
             after[here] -= itself
             before[here] -= itself
-            between[here] -= after
-            between[:, here] -= before
-            between[here, here] -= itself
-            base, out_sum, in_sum = grow(between), between.sum(1), between.sum(0)
-            rows = grow(between + after) - base
-            cols = grow(between + before[:, None]) - base
-            diagonal = np.diag(between)
-            gain = rows.sum(1) - np.diag(rows) + cols.sum(0) - np.diag(cols) + grow(diagonal + after + before + itself) - np.diag(base)
-            gain -= grow(out_sum + after.sum() + itself) - grow(out_sum) + grow(in_sum + before.sum() + itself) - grow(in_sum)
-            best = int(gain[:-1].argmax())
-            if gain[best] <= gain[here] + 1e-9:
-                best = here
-            between[best] += after
-            between[:, best] += before
-            between[best, best] += itself
-            if best != here:
+            gain = gains(between, own[w : w + 1], after[None], before[None], pairs[w, w][None])[0, :-1]
+            best = int(gain.argmax())
+            if gain[best] > gain[here] + 1e-9:
+                for c, sign in ((here, -1), (best, 1)):
+                    between[c] += sign * after
+                    between[:, c] += sign * before
+                    between[c, c] += sign * itself
                 member[w, here], member[w, best], own[w] = 0, 1, best
                 moved += 1
         if not moved:
@@ -77,6 +119,98 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.
     return own
 
 
+def _mapped(classes: np.ndarray, k: int):
+    """Pair counts of symbols to pair counts of their classes."""
+    size = len(classes)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            pair, n = column(batch, "pair").to_numpy(), column(batch, "n").to_numpy()
+            key, at = np.unique(classes[pair // size] * np.int64(k) + classes[pair % size], return_inverse=True)
+            for x, c in zip(key.tolist(), np.bincount(at, weights=n).tolist(), strict=True):
+                total[x] = total.get(x, 0) + int(c)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
+
+    return mapped
+
+
+def class_pairs(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of adjacent classes; the driver gets at most classes x classes of them."""
+    k = int(classes.max()) + 1
+    counted = pairs.mapInArrow(_mapped(classes, k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    between = np.zeros(k * k)
+    between[counted["pair"].to_numpy()] = counted["n"].to_numpy()
+    return between.reshape(k, k)
+
+
+def contexts(pairs: DataFrame, size: int) -> DataFrame:
+    """A row for each symbol with all its neighbours: at most 2 x ``size`` of them, whatever the corpus.
+
+    Symbols are dealt to a fixed number of tasks, as a round's work follows them and not their bytes.
+    """
+    a, b = F.expr(f"pair div {size}").cast("int"), (F.col("pair") % size).cast("int")
+    sides = F.array(F.struct(a.alias("symbol"), F.lit(True).alias("right"), b.alias("other"), "n"), F.struct(b.alias("symbol"), F.lit(False).alias("right"), a.alias("other"), "n"))
+    rows = pairs.select(F.explode(sides).alias("s")).select("s.*")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "symbol").groupBy("symbol").agg(F.collect_list(F.struct("right", "other", "n")).alias("near"))
+
+
+def _proposed(classes: np.ndarray, between: np.ndarray, most: int = 512):
+    """The best move of each symbol that has a better class than its own."""
+    k, end = len(between), len(classes) - 1
+
+    def moves(symbols: np.ndarray, w: np.ndarray, right: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        here, own = classes[symbols], other == symbols[w]
+        itself = np.bincount(w, weights=n * (own & right), minlength=len(symbols))
+        side = lambda r: np.bincount(w * k + classes[other], weights=n * (r & ~own), minlength=len(symbols) * k).reshape(-1, k)
+        gain = gains(between, here, side(right), side(~right), itself)[:, :-1]
+        best, row = gain.argmax(1), np.arange(len(symbols))
+        up = gain[row, best] - gain[row, np.minimum(here, k - 2)]
+        good = (up > 1e-6) & (symbols != end)  # the end token stays
+        return pa.RecordBatch.from_arrays([pa.array(symbols[good].astype(np.int64)), pa.array(best[good]), pa.array(up[good])], names=["symbol", "to", "gain"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, near = column(batch, "symbol").to_numpy(), column(batch, "near")
+            at, rows = near.offsets.to_numpy(), near.values
+            right, other, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("right", "other", "n"))
+            for a in range(0, len(symbols), most):
+                b = min(a + most, len(symbols))
+                part = slice(at[a], at[b])
+                yield moves(symbols[a:b], np.repeat(np.arange(b - a), np.diff(at[a : b + 1])), right[part], other[part], n[part])
+
+    return propose
+
+
+def refine(pairs: DataFrame, near: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Exchange over all symbols: (classes, class-pair counts, likelihood after each round).
+
+    ``pairs`` (pair, n) and ``near`` (``contexts``) are written tables. Classes, at most ``HEAD`` +
+    ``ENDINGS`` + 2 small numbers, go to the tasks, and at most as many moves come back.
+    """
+    between = class_pairs(pairs, classes)
+    trace = [likelihood(between)]
+    for _ in range(rounds):
+        moves = near.mapInArrow(_proposed(classes, between), "symbol long, to long, gain double").toArrow()
+        symbol, to, gain = (moves[c].to_numpy() for c in ("symbol", "to", "gain"))
+        order = np.lexsort((symbol, -gain))
+        while len(order):
+            tried = classes.copy()
+            tried[symbol[order]] = to[order]
+            counted = class_pairs(pairs, tried)
+            if likelihood(counted) > trace[-1]:
+                break
+            order = order[: len(order) // 2]  # moves that are good alone may spoil each other
+        if not len(order):
+            break
+        classes, between = tried, counted
+        trace.append(likelihood(between))
+        if trace[-1] - trace[-2] < LEAST_GAIN * abs(trace[-1]):
+            break
+    return classes, between, trace
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, flat in flat_slices(column(batch, "text")):
@@ -88,7 +222,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Symbols:
-    """The symbol of every word: its own if it is clustered, else its ending's, else a common one."""
+    """The symbol of every word: its own if it is a head word, else its ending's, else a common one."""
 
     words: dict[str, int]
     endings: dict[str, int]
@@ -101,9 +235,12 @@ class Symbols:
     def end(self) -> int:
         return self.rest + 1
 
+    def of_ending(self, word: str) -> int:
+        return self.endings.get(word[-ENDING_CHARS:], self.rest)
+
     def of(self, words: list[str]) -> np.ndarray:
-        own, ending, rest = self.words.get, self.endings.get, self.rest
-        return np.fromiter((own(w, -1) if w in self.words else ending(w[-ENDING_CHARS:], rest) for w in words), np.int64, len(words))
+        own, ending = self.words.get, self.of_ending
+        return np.fromiter((k if (k := own(w)) is not None else ending(w) for w in words), np.int64, len(words))
 
 
 def _sequence(words, symbol_of_code: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,53 +272,69 @@ class Model:
     """What the tasks need: counts of head words, classes, and smoothed log10 probabilities."""
 
     symbols: Symbols
-    head: dict[str, int]
+    head: np.ndarray  # counts of the symbols that are head words
     classes: np.ndarray
     transition: np.ndarray  # log10 P(class | class before)
     spread: np.ndarray  # log10 of each class's emission denominator
     n: int
     v: int
     n_end: int
+    trace: list[float] = field(default_factory=list)  # likelihood after each round of the exchange
 
     @property
     def base_spread(self) -> float:
         return float(np.log10(self.n + 0.5 * (self.v + 1)))
 
+    @property
+    def outside(self) -> float:
+        """The share of training tokens whose class is that of their ending."""
+        return 1 - (float(self.head.sum()) + self.n_end) / max(1, self.n)
+
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the vocabulary table (word, n) that holds every training word's count."""
+    """The model, and the vocabulary table (word, n) that holds every training word's count.
+
+    A null text is empty and counts one end token, and so does a repeated row each time; a text may
+    be of any length. Without rows all counts are 0 and all classes alike.
+    """
     texts = docs.select("text")
     vocabulary = texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     vocabulary = shared.materialize(vocabulary, "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = vocabulary.where(F.col("word") != END)
-    head = sorted((tuple(r) for r in words.where(F.col("n") * HEAD >= n).collect()), key=lambda r: (-r[1], r[0]))  # at most HEAD rows
-    clustered = [w for w, _ in head[:CLUSTERED]]
+    common = F.col("n") * HEAD >= n
+    head = sorted((tuple(r) for r in words.where(common).collect()), key=lambda r: (-r[1], r[0]))  # at most HEAD rows
+    # Endings get a class by what they hold besides the seed words; they stand for rarer words then.
     ending = F.substring("word", -ENDING_CHARS, ENDING_CHARS)
-    others = words.where(~F.col("word").isin(clustered)) if clustered else words
-    by_ending = others.groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    common = sorted(tuple(r) for r in by_ending.where(F.col("n") * ENDINGS >= n).collect())  # at most ENDINGS rows
-    symbols = Symbols({w: i for i, w in enumerate(clustered)}, {e: len(clustered) + i for i, (e, _, _) in enumerate(common)})
+    seed = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w, _ in head[:SEED]], "word string"))
+    by_ending = words.join(seed, "word", "left_anti").groupBy(ending.alias("ending")).agg(F.sum("n").alias("n"))
+    endings = sorted(r[0] for r in by_ending.where(F.col("n") * ENDINGS >= n).select("ending").collect())  # at most ENDINGS rows
+    symbols = Symbols({w: i for i, (w, _) in enumerate(head)}, {e: len(head) + i for i, e in enumerate(endings)})
     size = symbols.end + 1
-    counted = texts.mapInArrow(_pairs(symbols), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
-    pairs = np.zeros(size * size)
-    pairs[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    classes = exchange(pairs.reshape(size, size))
-    k = int(classes.max()) + 1
-    member = np.zeros((size, k))
-    member[np.arange(size), classes] = 1
-    between = member.T @ pairs.reshape(size, size) @ member
+    pairs = texts.mapInArrow(_pairs(symbols), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = shared.materialize(pairs, "pairs")
+
+    few = min(SEED, len(head))
+    seeded = np.arange(size) - len(head) + few  # endings, the rest and the end follow the seed words
+    seeded[: len(head)] = np.minimum(np.arange(len(head)), few)
+    seeded[few : len(head)] = [symbols.of_ending(w) - len(head) + few for w, _ in head[few:]]
+    classes = exchange(class_pairs(pairs, seeded), rounds=4)[seeded]  # a start; the rounds below go on
+    near = shared.materialize(contexts(pairs, size), "contexts")
+    classes, between, trace = refine(pairs, near, classes)
+
+    k = len(between)
     unigram = (between.sum(0) + 0.5) / (between.sum() + 0.5 * k)
     transition = (between + 2.0 * unigram) / (between.sum(1, keepdims=True) + 2.0)
     totals, kinds = np.zeros(size), np.zeros(size)
-    totals[: len(clustered)], kinds[: len(clustered)] = [c for _, c in head[:CLUSTERED]], 1
-    for e, c, d in common:
+    totals[: len(head)], kinds[: len(head)] = [c for _, c in head], 1
+    for e, c, d in words.where(~common).groupBy(ending.alias("e")).agg(F.sum("n"), F.count("*")).where(F.col("e").isin(endings)).collect():  # at most ENDINGS rows
         totals[symbols.endings[e]], kinds[symbols.endings[e]] = c, d
     n_end = next((r[0] for r in vocabulary.where(F.col("word") == END).select("n").collect()), 0)
     totals[symbols.end], kinds[symbols.end] = n_end, int(n_end > 0)
     totals[symbols.rest], kinds[symbols.rest] = n - totals.sum(), v - kinds.sum()
-    per_class, kinds_per_class = totals @ member, kinds @ member
-    model = Model(symbols, dict(head), classes, np.log10(transition), np.log10(per_class + 0.5 * (kinds_per_class + 1)), int(n), int(v), int(n_end))
+    per_class, kinds_per_class = (np.bincount(classes, weights=x, minlength=k) for x in (totals, kinds))
+    spread = np.log10(per_class + 0.5 * (kinds_per_class + 1))
+    model = Model(symbols, np.array([c for _, c in head], np.int64), classes, np.log10(transition), spread, int(n), int(v), int(n_end), trace)
     return model, vocabulary
 
 
@@ -205,8 +358,8 @@ def _score_rows(model: Model):
                 words = flat.lower().words()
                 codes, distinct = words.encode()
                 listed = distinct.to_numpy(zero_copy_only=False).tolist()
-                counts = np.fromiter((model.head.get(w, 0) for w in listed), np.int64, len(listed))
                 symbol = model.symbols.of(listed)
+                counts = np.append(model.head, 0)[np.minimum(symbol, len(model.head))]
                 line, at = _sequence(words, symbol, codes, model.symbols.end)
                 steps = model.classes[line]
                 jumps = np.concatenate([[0.0], np.cumsum(model.transition[steps[:-1], steps[1:]])])
