@@ -2,9 +2,12 @@
 
 Public vocabularies measure each text: characters per token, the share of byte-fallback tokens and
 the entropy of its token distribution. A text is rejected where a measure leaves its band. Each
-script has fixed, wide bands. Each language of the corpus has narrower ones for the characters per
-token, from the medians and median deviations of all its documents; as a mean over few tokens
-varies more, a band narrows with the root of the text's tokens. Simple counts go along.
+script has fixed, wide limits. Within these, the characters per token have bands that come from
+medians and median deviations of all documents, of the text's script and of its language in this
+script; as a mean over few tokens varies more, a band narrows with the root of the text's tokens.
+The fewer documents a script or a language has, the more its band is that of the level above
+(language, script, fixed limits); the blend is smooth, and a text without a language has its
+script's band. Simple counts go along.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeforge.llm import shared
@@ -34,9 +37,11 @@ BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
     "other": (0.2, 10.0, 0.2, 10.0, 0.90, 2.0),
 }
 FULL_TOKENS = 64
-#: A language's bands reach so many robust deviations, and need so many documents.
+#: A band reaches so many robust deviations; a group of ``PRIOR`` documents weighs as much as the
+#: level above it. Medians are exact to one part in ``PARTS`` of an octave.
 DEVIATIONS = 10.0
-LEAST_DOCS = 50
+PRIOR = 50.0
+PARTS = 256
 
 SCRIPTS = ("other", "latin", "cyrillic", "cjk")
 #: Lead bytes of UTF-8 by script: Latin letters, Cyrillic, and kana, Han and Hangul.
@@ -218,42 +223,91 @@ def with_figures(measured: DataFrame) -> DataFrame:
     return measured.withColumns({"base_failed": failed, "fallback_share": ratio("n_fallback", "n_piece_tokens"), **figures})
 
 
-def _deviation(name: str) -> Column:
-    """How far a ratio is from its language's middle, in units that do not depend on the length."""
-    return (F.col(name) - F.col(f"{name}_middle")) * F.sqrt(F.col(RATIOS[name]))
+def _medians(rows: DataFrame, value: Column) -> tuple[DataFrame, DataFrame]:
+    """(script, lang, m, n) and (script, m, n): medians of ``value`` by language and by script.
+
+    Values are counted in logarithmic classes, some thousand a group at most, so the result does not
+    depend on the order of rows, and a language that has most of the rows is no hot key.
+    """
+    place = F.floor(F.log2(F.greatest(value, F.lit(2.0**-20))) * PARTS)
+    counted = shared.materialize(rows.groupBy("script", "lang", place.alias("place")).agg(F.count("*").alias("n")), "classes")
+
+    def median(counts: DataFrame, *keys: str) -> DataFrame:
+        every = Window.partitionBy(*keys)
+        upto = every.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        half = counts.select(*keys, "place", F.sum("n").over(upto).alias("upto"), F.sum("n").over(every).alias("all")).where(2 * F.col("upto") >= F.col("all"))
+        return half.groupBy(*keys).agg(F.pow(F.lit(2.0), (F.min("place") + 0.5) / PARTS).alias("m"), F.first("all").cast("double").alias("n"))
+
+    by_script = counted.groupBy("script", "place").agg(F.sum("n").alias("n"))
+    return median(counted.where("lang is not null"), "script", "lang"), median(by_script, "script")
 
 
-def language_bands(figures: DataFrame) -> DataFrame:
-    """(lang, middle and scale of each ratio) for languages of ``LEAST_DOCS`` documents or more.
+def _fixed(scripts: dict | None = None) -> Column:
+    """The fixed limits of a row's script, as an array."""
+    known = F.create_map(*[x for k, v in (scripts or BANDS).items() for x in (F.lit(k), F.array(*map(F.lit, map(float, v))))])
+    return F.coalesce(F.try_element_at(known, "script"), F.try_element_at(known, F.lit("other")))
+
 
-    Medians come from mergeable sketches, so a language that has most of the rows is no hot key.
+def language_bands(figures: DataFrame, scripts: dict | None = None) -> DataFrame:
+    """(script, lang, band): for each ratio, the middle, the deviation of one token and the slack.
+
+    Rows with a null lang are the scripts' own bands.
     """
-    rows = figures.where("not base_failed and lang is not null and n_piece_tokens > 0")
-    half = lambda c: F.percentile_approx(c, 0.5, 1000)
-    middles = rows.groupBy("lang").agg(F.count("*").alias("n"), *[half(F.col(r)).alias(f"{r}_middle") for r in RATIOS]).where(F.col("n") >= LEAST_DOCS).drop("n")
-    middles = shared.materialize(middles, "middles")
-    spread = rows.join(shared.small(middles), "lang").groupBy("lang").agg(*[(1.4826 * half(F.abs(_deviation(r)))).alias(f"{r}_scale") for r in RATIOS])
-    return middles.join(shared.small(spread), "lang")
+    rows = figures.where("not base_failed and n_piece_tokens > 0").select("script", "lang", *RATIOS, *RATIOS.values())
+    bands = None
+    for k, (r, n_tokens) in enumerate(RATIOS.items()):
+        middle, above = (shared.materialize(x, "middles") for x in _medians(rows, F.col(r)))
+        spread = lambda m: F.abs(F.col(r) - m) * F.sqrt(F.col(n_tokens))  # noqa: B023, E731
+        own, _ = _medians(rows.join(shared.small(middle.withColumnRenamed("m", "mid").drop("n")), ["script", "lang"]), spread(F.col("mid")))
+        _, wide = _medians(rows.join(shared.small(above.withColumnRenamed("m", "mid").drop("n")), "script"), spread(F.col("mid")))
+        limits = _fixed(scripts)
+        low, high = F.element_at(limits, 2 * k + 1), F.element_at(limits, 2 * k + 2)
+        w = F.col("n") / (F.col("n") + PRIOR)
+        joined = above.join(wide.select("script", (1.4826 * F.col("m")).alias("s")), "script")
+        outer = joined.select(
+            "script",
+            (w * F.col("m") + (1 - w) * (low + high) / 2).alias("middle"),
+            (w * F.col("s")).alias("scale"),
+            ((1 - w) * (high - low) / 2).alias("slack"),
+        )
+        inner = middle.join(own.select("script", "lang", (1.4826 * F.col("m")).alias("s")), ["script", "lang"]).join(outer, "script")
+        inner = inner.select(
+            "script",
+            "lang",
+            F.struct(
+                (w * F.col("m") + (1 - w) * F.col("middle")).alias("middle"),
+                (w * F.col("s") + (1 - w) * F.col("scale")).alias("scale"),
+                ((1 - w) * (F.col("slack") + F.abs(F.col("m") - F.col("middle")))).alias("slack"),
+            ).alias(r),
+        )
+        table = inner.unionByName(outer.select("script", F.lit(None).cast("string").alias("lang"), F.struct("middle", "scale", "slack").alias(r)))
+        table = shared.materialize(table, "bands").withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+        bands = table if bands is None else bands.join(table.drop("lang"), ["script", "lang_key"])
+    return bands
 
 
 def judge(figures: DataFrame, bands: DataFrame, scripts: dict | None = None) -> DataFrame:
     """Add kept: false if the base failed, else whether all measures lie in their bands."""
-    known = F.create_map(*[x for k, v in (scripts or BANDS).items() for x in (F.lit(k), F.array(*map(F.lit, map(float, v))))])
-    band = F.coalesce(F.try_element_at(known, "script"), F.try_element_at(known, F.lit("other")))
-    rows = figures.join(shared.small(bands), "lang", "left").withColumn("band", band)
-    at = lambda k: F.element_at(F.col("band"), k)
-    scale = F.least(F.lit(1.0), F.log2(F.greatest(F.col("n_piece_tokens"), F.lit(1))) / F.log2(F.lit(float(FULL_TOKENS))))
-    good = (F.col("fallback_share") <= at(5)) & (F.col("piece_entropy") >= at(6) * scale)
-    for i, r in enumerate(RATIOS):
-        usual = F.coalesce(F.abs(_deviation(r)) <= DEVIATIONS * F.col(f"{r}_scale"), F.lit(True))
-        good = good & F.col(r).between(at(2 * i + 1), at(2 * i + 2)) & usual
-    return rows.withColumn("kept", ~F.col("base_failed") & good).drop("band", *[f"{r}_{x}" for r in RATIOS for x in ("middle", "scale")])
+    limits = _fixed(scripts)
+    bands = shared.small(shared.materialize(bands.select("script", "lang_key", *[F.col(r).alias(f"{r}_band") for r in RATIOS]), "bands"))
+    rows = figures.withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).join(bands, ["script", "lang_key"], "left").withColumn("limits", limits)
+    at = lambda k: F.element_at(F.col("limits"), k)
+    short = F.least(F.lit(1.0), F.log2(F.greatest(F.col("n_piece_tokens"), F.lit(1))) / F.log2(F.lit(float(FULL_TOKENS))))
+    good = (F.col("fallback_share") <= at(5)) & (F.col("piece_entropy") >= at(6) * short)
+    for i, (r, n_tokens) in enumerate(RATIOS.items()):
+        b = F.col(f"{r}_band")
+        reach = DEVIATIONS * b["scale"] / F.sqrt(F.greatest(F.col(n_tokens), F.lit(1))) + b["slack"]
+        good = good & F.col(r).between(at(2 * i + 1), at(2 * i + 2)) & F.coalesce(F.abs(F.col(r) - b["middle"]) <= reach, F.lit(True))
+    return rows.withColumn("kept", ~F.col("base_failed") & good).drop("limits", "lang_key", *[f"{r}_band" for r in RATIOS])
 
 
 def judge_documents(docs: DataFrame, pieces: str = PIECES, bytes_: str = BYTES) -> DataFrame:
-    """Measure all documents, take the languages' bands from them, and judge each one.
+    """Measure all documents, take the bands from them, and judge each one.
 
-    The measures, a few numbers a document, are written once and read for the bands and verdicts.
+    The measures, a few numbers a document, are written once and read for the bands and verdicts. A
+    null or empty text has no words, so its base fails; a very long one is measured whole. Repeated
+    rows are judged alike, null ids and languages included, and count as often as they come. Columns
+    of any other names are not read. An empty table gives an empty one.
     """
     figures = with_figures(shared.materialize(measures(docs, pieces, bytes_), "measures"))
     return judge(figures, language_bands(figures))

@@ -62,12 +62,60 @@ def test_empty_table(empty):
     assert ft.judge_documents(empty).collect() == []
 
 
+def plain_verdicts(rows):
+    """kept of each row, by loops: binned medians, three levels, and the limits."""
+    import math
+
+    used = [r for r in rows if not r.base_failed and r.n_piece_tokens > 0]
+
+    def median(values):
+        places = sorted(math.floor(math.log2(max(v, 2.0**-20)) * ft.PARTS) for v in values)
+        return 2 ** ((places[(len(places) - 1) // 2] + 0.5) / ft.PARTS)
+
+    def blend(rows, r, above):
+        if not rows:
+            return above
+        n, m = len(rows), median([r_[r] for r_ in rows])
+        s = 1.4826 * median([abs(x[r] - m) * math.sqrt(x[ft.RATIOS[r]]) for x in rows])
+        w = n / (n + ft.PRIOR)
+        return w * m + (1 - w) * above[0], w * s + (1 - w) * above[1], (1 - w) * (above[2] + (abs(m - above[0]) if above[1] else 0))
+
+    out = []
+    for x in rows:
+        limits = ft.BANDS[x.script]
+        short = min(1.0, math.log2(max(1, x.n_piece_tokens)) / math.log2(ft.FULL_TOKENS))
+        good = not x.base_failed and x.fallback_share <= limits[4] and x.piece_entropy >= limits[5] * short
+        for k, r in enumerate(ft.RATIOS):
+            low, high = limits[2 * k : 2 * k + 2]
+            script = blend([u for u in used if u.script == x.script], r, ((low + high) / 2, 0.0, (high - low) / 2))
+            middle, scale, slack = blend([u for u in used if u.script == x.script and u.lang == x.lang], r, script) if x.lang is not None else script
+            good = good and low <= x[r] <= high and abs(x[r] - middle) <= ft.DEVIATIONS * scale / math.sqrt(max(1, x[ft.RATIOS[r]])) + slack
+        out.append(good)
+    return out
+
+
+def test_kept_equals_a_plain_verdict(spark, docs):
+    from pyspark.sql import functions as F
+
+    some = docs.select("doc_id", "text", "lang").where("doc_id % 2 = 0").withColumn("lang", F.when(F.col("doc_id") % 6 != 0, F.col("lang")))
+    junk = [(10**6 + i, " ".join(f"{'xq#'[i % 3]}{k}z{'-&' * (i % 4)}" for k in range(40)), "en" if i % 2 else None) for i in range(8)]
+    rows = ft.judge_documents(some.union(spark.createDataFrame(junk, "doc_id long, text string, lang string"))).collect()
+    want = plain_verdicts(rows)
+    assert [r.kept for r in rows] == want and not all(want[k] for k, r in enumerate(rows) if r.doc_id >= 10**6)
+
+
 def test_a_language_has_its_own_bands(spark, docs):
-    """Symbol-laden text of a known language leaves the language's band, not the script's."""
+    """Symbol-laden text leaves the band of its language, and that of its script where it has none;
+    random letters leave it as well."""
+    import random
+
     prose = docs.where("lang = 'en'").select("doc_id", "text", "lang")
     first = prose.orderBy("doc_id").first().text
     noisy = " ".join(w + "".join(c for c in "#%&*")[i % 3 :] * 2 for i, w in enumerate(first.split()))
-    rows = prose.union(spark.createDataFrame([(10**6, noisy, "en"), (10**6 + 1, noisy, "xx")], "doc_id long, text string, lang string"))
+    rng = random.Random(0)
+    letters = "".join(rng.choice("bcdfghjklmnpqrstvwxz") if c.isalpha() else c for c in first)
+    more = [(10**6, noisy, "en"), (10**6 + 1, noisy, None), (10**6 + 2, letters, None), (10**6 + 3, first + " and", None)]
+    rows = prose.union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
     out = {r.doc_id: r for r in ft.judge_documents(rows).where("not base_failed").collect()}
-    assert not out[10**6].kept and out[10**6 + 1].kept
-    assert all(r.kept for r in out.values() if r.n_symbols < 0.05 * r.n_words and r.n_words >= 20)
+    assert [out[10**6 + k].kept for k in range(4)] == [False, False, False, True]
+    assert all(r.kept for r in out.values() if r.doc_id < 10**6 and r.n_symbols < 0.05 * r.n_words and r.n_words >= 20)
