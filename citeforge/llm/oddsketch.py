@@ -7,12 +7,15 @@ bit: the count of ones of two sketches' XOR estimates their similarity precisely
 so pairs far below the threshold are dropped before any set is read. The remaining pairs are
 confirmed on their full sets, and links are joined to components.
 
-No step forms all pairs of a group as rows. In the tasks, members of a bucket are held against each
-other by their sketches (large buckets in blocks), and only a forest of the promising pairs leaves
-the task; it joins the classes to clusters outside which no link can lie. Clusters of up to
-``BLOCK`` classes are then resolved by their full sets in one task each. In larger ones the forest's
-pairs are confirmed first, and what is then not in the cluster's largest component is held against
-all of the cluster, block by block, so that no link between different components is left out.
+No step forms all pairs of a group as rows. First each bucket's members are held against its
+smallest one: as many pairs as members, filtered by sketches, then confirmed on full sets, with the
+smallest ones' sets copied for every ``HUB`` pairs. What these links join is one component. Buckets
+of one component are done, however large. In the others only pairs across components can still join
+anything: members outside a bucket's largest component are held against all of it by their
+sketches, in the tasks, and only each one's nearest partner and a forest leave them; these are
+confirmed likewise. Where nothing more is found so, all members that still have a promising partner
+in another component are compared by their full sets, the outside ones against all, in blocks, so
+that no link between different components is left out.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ LEAST_ESTIMATE = 0.5
 BUCKET_BLOCK = 1024  # members of a bucket that are compared by sketches in one task
 BRANCHES = 16  # that a member of a forest gets before others have theirs
 BLOCK = 256  # classes of a cluster that are compared by full sets in one task
+HUB = 128  # pairs with one and the same set that are confirmed in one task
+ROUNDS = 2  # of confirming nearest partners before the last comparison
 
 _SEEDS = np.random.default_rng(20240229)
 _MUL = _SEEDS.integers(1 << 31, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -134,7 +139,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ODD = [f"o{k}" for k in range(LONGS)]
 #: Ones of two sketches' XOR up to which the estimate reaches ``LEAST_ESTIMATE``.
 MOST_ONES = int(64 * LONGS * (1 - np.exp((LEAST_ESTIMATE - 1) * 4 * SAMPLES / (64 * LONGS))) / 2)
-SETS = "node long, set_a long, set_b long, members array<long>, " + ", ".join(f"{c} long" for c in ODD)
+SETS = "node long, set_a long, set_b long, members array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +150,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([_digest(s) for s in sets], np.int64)
             offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             members = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))
-            odd = odd_sketches(np.stack([samples_of(s) if len(s) else np.zeros(SAMPLES, np.uint32) for s in sets]))
-            arrays = [keys.slice(a, b - a), pa.array(ids[:, 0]), pa.array(ids[:, 1]), members]
-            arrays += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(LONGS)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "set_a", "set_b", "members", *ODD])
+            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids[:, 0]), pa.array(ids[:, 1]), members], names=["node", "set_a", "set_b", "members"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -184,9 +186,11 @@ def _odd(table: pa.Table) -> np.ndarray:
 
 
 def _across(table: pa.Table) -> np.ndarray:
-    """Whether a pair of the group's rows belongs to this group: across its blocks, if it has two."""
-    block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-    return (block[:, None] != block[None, :]) if i != j else np.ones((len(block), len(block)), bool)
+    """Whether a pair of the group's rows belongs to this group: different components, and across
+    its blocks, if it has two."""
+    part, block, i, j = table["component"].to_numpy(), table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    apart = part[:, None] != part[None, :]
+    return apart & (block[:, None] != block[None, :]) if i != j else apart
 
 
 PAIRS = "a long, b long"
@@ -197,13 +201,12 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each bucket's promising pairs, and each member's nearest one."""
+    """Each bucket's promising pairs across components: each member's nearest one, and a forest."""
     out: list[tuple[int, int]] = []
     for table in groups(batches, ["bucket", "i", "j"]):
         node, odd = table["node"].to_numpy(), _odd(table)
         ones = _ones(odd, odd)
-        np.fill_diagonal(ones, 64 * LONGS)
-        near = (ones <= MOST_ONES) & _across(table) & (node[:, None] != node[None, :])
+        near = (ones <= MOST_ONES) & _across(table)
         if not near.any():
             continue
         left = near.any(1)
@@ -235,7 +238,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, ["cluster", "i", "j"]):
         node, odd, part = table["node"].to_numpy(), _odd(table), table["component"].to_numpy()
         ones = _ones(odd, odd)
-        fit = (ones <= MOST_ONES) & _across(table) & (part[:, None] != part[None, :])
+        fit = (ones <= MOST_ONES) & _across(table)
         a, b = np.nonzero(np.triu(fit, 1))
         order = np.argsort(ones[a, b], kind="stable")
         members = table["members"].combine_chunks()
@@ -272,69 +275,143 @@ def similarity_estimate(difference):
     return 1 + n / (4.0 * SAMPLES) * F.log(1 - 2 * share)
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks, kept: list[str]) -> DataFrame:
-    """Rows dealt to the pairs (i, j) of their key's blocks, i <= j."""
-    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *kept)
+def _dealt(rows: DataFrame, key: str, block: int, kept: list[str]) -> DataFrame:
+    """Rows (key, node, component, n and ``kept``) dealt to groups (key, i, j) of two blocks at most,
+    so that every two rows of different components meet; ``n`` is the number of the key's rows.
+
+    Keys of up to ``block`` rows are one group. In larger ones, rows outside the largest component
+    are dealt to blocks 0 to k - 1 and the others to blocks k on, and a group is a pair of blocks of
+    which the first is an outside one; rows of the largest component are copied only k times.
+    """
+    columns = [key, "i", "j", "block", "node", "component", *kept]
+    zero = F.lit(0).cast("long")
+    whole = rows.where(F.col("n") <= block).withColumns({"i": zero, "j": zero, "block": zero}).select(columns)
+    large = rows.where(F.col("n") > block)
+    if large.isEmpty():
+        return whole
+    parts = shared.materialize(large.groupBy(key, "component").agg(F.count("*").alias("rows")), "parts")
+    main = parts.groupBy(key).agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.max("rows").alias("inside"), F.sum("rows").alias("all"))
+    blocks = main.select(key, "main", F.ceil((F.col("all") - F.col("inside")) / block).alias("k"), F.ceil(F.col("inside") / block).alias("m"))
+    large = large.join(shared.small(shared.materialize(blocks.where("k > 0"), "blocks")), key)
+    h, outside = F.xxhash64("node"), F.col("component") != F.col("main")
+    own = F.when(outside, F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.col("m")))
+    last = F.when(outside, F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
+    large = large.withColumn("block", own).withColumn("other", F.explode(F.sequence(zero, last)))
+    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return whole.unionByName(large.select(columns))
+
+
+def _compared(rows: DataFrame, key: str, compare) -> DataFrame:
+    groups_ = rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
+    return groups_.mapInArrow(compare, PAIRS).distinct()
+
+
+def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b, salt) with ``columns`` of both nodes, as a_... and b_...
+
+    Many pairs may share one b: its row is copied for each of its salts, and no task gets more
+    pairs of it than have one salt.
+    """
+    side = lambda c: table.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns])
+    hubs = pairs.select("b", "salt").distinct().join(side("b"), "b")
+    return pairs.join(side("a"), "a").join(hubs, ["b", "salt"])
+
+
+def _near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sketches promise a similarity at the threshold."""
+    met = _beside(pairs, classes, ODD)
+    ones = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ODD), F.lit(0))
+    return met.where(ones <= MOST_ONES).select("a", "b", "salt")
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, members) of some nodes: their texts are read again, those alone."""
+    ids = shared.materialize(classes.select("node", "set_a", "set_b").join(nodes, "node", "left_semi"), "candidates")
+    texts = docs.join(shared.small(ids.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+    # An id may have several texts; each of its sets is a row.
+    sets = texts.mapInArrow(_sets, SETS).join(ids, ["node", "set_a", "set_b"], "left_semi")
+    return shared.materialize(sets.groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members")).drop("set_a", "set_b"), "sets")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b, salt) that reach the threshold on their full sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = _beside(pairs, _sets_of(nodes, classes, docs), ["members"])
+    both = F.size(F.array_intersect("a_members", "b_members"))
+    either = F.size("a_members") + F.size("b_members") - both
+    return shared.materialize(met.where(100 * both >= SIMILAR * either).select("a", "b").distinct(), "links")
+
+
+def _open(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Members (node, bucket, n, component) of buckets that hold two components or more."""
+    if components is not None:
+        members = members.join(components, "node", "left")
+        members = members.withColumn("component", F.coalesce("component", "node"))
+        members = shared.materialize(members, "placed")
+    else:
+        members = members.withColumn("component", F.col("node"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+
 
+def _promised(members: DataFrame, components: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """Promising pairs across components in the same bucket; every node that has one is in a pair."""
+    rows = _open(members, components).join(classes.select("node", *ODD), "node")
+    return shared.materialize(_compared(_dealt(rows, "bucket", BUCKET_BLOCK, ODD), "bucket", _promising), "promising")
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that reach the threshold on their full sets."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= SIMILAR * either).select("a", "b").distinct()
+
+def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components of the links and of what was joined before; None where there is neither."""
+    if links.isEmpty():
+        return components
+    before = [components.select(F.col("node").alias("a"), F.col("component").alias("b"))] if components is not None else []
+    return connected_components(links.union(before[0]) if before else links)
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another one."""
     keys = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = shared.materialize(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = keys.join(buckets, "bucket").join(classes.select("node", *ODD), "node")
-    dealt = _in_blocks(members, "bucket", F.ceil(F.col("n") / BUCKET_BLOCK), ODD).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    pairs = shared.materialize(dealt.mapInArrow(_promising, PAIRS).distinct(), "promising")
-    clusters = connected_components(pairs).withColumnRenamed("component", "cluster")
-
-    ids = shared.materialize(classes.join(clusters.select("node"), "node", "left_semi").select("node", "set_a", "set_b"), "candidates")
-    texts = docs.join(shared.small(ids.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_sets, SETS).join(ids, ["node", "set_a", "set_b"], "left_semi")
-    sets = sets.groupBy("node", "set_a", "set_b").agg(*[F.first(c).alias(c) for c in ("members", *ODD)]).drop("set_a", "set_b")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    sets = shared.materialize(sets.join(clusters.join(sizes, "cluster"), "node"), "sets")
-
-    kept = ["component", "members", *ODD]
-    within = sets.where(F.col("n") <= BLOCK).withColumn("component", F.col("node"))
-    dealt = _in_blocks(within, "cluster", F.lit(1), kept)
-    large = sets.where(F.col("n") > BLOCK)
-    links = None
-    if not large.isEmpty():
-        wide = clusters.join(sizes.where(F.col("n") > BLOCK), "cluster")
-        near = pairs.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
-        links = shared.materialize(_confirmed(near, large), "links")
-        parts = large.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        main = parts.groupBy("cluster", "component").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-        parts = shared.materialize(parts.join(shared.small(main), "cluster").withColumn("outside", F.col("component") != F.col("main")), "parts")
-        dealt = dealt.unionByName(_outside_against_all(parts, kept))
-    rows = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    found = shared.materialize(rows.mapInArrow(_exact, PAIRS), "links")
-    return connected_components(found if links is None else links.union(found))
-
-
-def _outside_against_all(parts: DataFrame, kept: list[str]) -> DataFrame:
-    """Blocks of what is outside the main component, each with itself, its like and the main ones.
-
-    Outside rows are dealt to blocks 0 to k - 1 and the others to blocks k on; a group is a pair of
-    blocks of which the first is an outside one.
+    buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    members = shared.materialize(keys.join(buckets, "bucket"), "members")
+    stars = members.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.max("n").alias("n"))
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HUB)).alias("salt"))
+    near = shared.materialize(_near_by_sketch(stars, classes), "stars")
+    members = members.select("node", "bucket", "n")
+    components = _joined(None, _confirmed(near, classes, docs))
+    for _ in range(ROUNDS):
+        pairs = _promised(members, components, classes)
+        # No node has more than a few of these pairs, so they need no salts.
+        links = _confirmed(pairs.withColumn("salt", F.lit(0).cast("long")), classes, docs)
+        if links.isEmpty():
+            break
+        components = _joined(components, links)
+    else:
+        pairs = _promised(members, components, classes)
+    if not pairs.isEmpty():
+        components = _joined(components, _last_links(pairs, components, classes, docs))
+    if components is None:
+        return classes.select("node", F.col("node").alias("component")).limit(0)
+    return components
+
+
+def _last_links(pairs: DataFrame, components: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join different components, by full sets of all nodes with a promising partner.
+
+    Promising pairs put components into clusters outside which no link can lie.
     """
-    count = lambda c: F.ceil(F.sum(c.cast("long")) / BLOCK)
-    sizes = parts.groupBy("cluster").agg(count(F.col("outside")).alias("k"), count(~F.col("outside")).alias("m")).where("k > 0")
-    rows = parts.join(shared.small(sizes), "cluster")
-    h = F.xxhash64("node")
-    rows = rows.withColumn("block", F.when(F.col("outside"), F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.greatest("m", F.lit(1)))))
-    last = F.when(F.col("outside"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *kept)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    part = nodes.withColumn("component", F.col("node"))
+    if components is not None:
+        part = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = shared.materialize(part, "parts")
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    edges = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    clusters = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    placed = shared.materialize(part.join(clusters, "component"), "clusters")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"))
+    sets = _sets_of(nodes, classes, docs).join(classes.select("node", *ODD), "node")
+    rows = shared.materialize(sets.join(placed, "node").join(sizes, "cluster"), "rows")
+    return shared.materialize(_compared(_dealt(rows, "cluster", BLOCK, ["members", *ODD]), "cluster", _exact), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -360,16 +437,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are; of repeated rows one stays."""
+    """The rows of ``docs`` that are kept, all columns as they are; of repeated rows one stays.
+
+    Rows without an id, and texts without a word, stay. Columns of any names may be there.
+    """
     found = shared.materialize(near_duplicates(docs), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    kept = docs.join(shared.small(gone), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id")).distinct()
-    if again.isEmpty():
-        return kept
-    again = shared.small(again)
-    once = kept.join(again, kept["doc_id"] == F.col("again_id"), "left_anti")
-    return once.union(kept.join(again, kept["doc_id"] == F.col("again_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    id_, text_key = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.select(F.struct("*").alias("row"), id_.alias("id"), text_key.alias("key"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    kept = rows.join(shared.small(shared.materialize(gone, "gone")), ["id", "key"], "left_anti")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct("text_key").alias("texts")).where("rows > texts")
+    again = shared.materialize(again.select(F.col("doc_id").alias("id")), "again")
+    if not again.isEmpty():
+        again = shared.small(again)
+        once = kept.join(again, "id", "left_anti")
+        kept = once.unionByName(kept.join(again, "id", "left_semi").dropDuplicates(["id", "key"]))
+    return kept.select("row.*")
 
 
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

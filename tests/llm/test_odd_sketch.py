@@ -64,6 +64,45 @@ def test_large_groups_of_variants(spark, bucket_block, block, monkeypatch):
     assert got(df) == brute(rows)
 
 
+def test_twenty_thousand_near_copies_are_one_group(spark):
+    """All are near the text with the smallest id; few pairs, and no block pairs, are enough."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(7, " ".join(words))]
+    for i in range(20_000):
+        copy = list(words)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(120)] = f"x{i}"
+        rows.append((100 + i, " ".join(copy)))
+    out = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert out.groupBy("component_id").count().collect() == [(7, 20_001)]
+    assert out.where("kept").count() == 1
+
+
+def test_unlinked_sets_in_one_bucket(spark, monkeypatch):
+    """Texts that share much and are not linked meet in buckets, in blocks of outsiders and others."""
+    monkeypatch.setattr(oddsketch, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(oddsketch, "BLOCK", 12)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for k in rng.sample(range(100), 4 if i % 3 else 2):
+            copy[k] = f"x{i}.{k}"
+        rows.append((i, " ".join(copy)))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_an_id_with_several_texts(spark):
+    """Each text of an id is linked by its own set."""
+    a, b = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (8, "something else of more than five words")]
+    out = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
 def test_odd_rows(odd):
     out = oddsketch.near_duplicates(odd).collect()
     assert len(out) == odd.count()
