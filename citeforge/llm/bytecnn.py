@@ -13,10 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeforge.llm import shared
 from citeforge.llm.textvec import column, flat_slices
 
 WINDOW = 128
@@ -24,11 +23,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 
-#: Bounds of the training sample: documents (those first by their id's hash), windows of each, and
-#: languages (the most frequent ones of the sample).
+#: Bounds of the training sample: documents (as many of each language as there are, or an equal
+#: share; those first by their id's hash) and windows of each.
 SAMPLE_DOCS = 3000
 SAMPLE_WINDOWS = 3
-MOST_LANGUAGES = 512
 
 UNKNOWN = "und"
 _LETTER = bytes(c < 128 and chr(c).isalpha() for c in range(256))
@@ -118,26 +116,51 @@ def crc_remainder(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def shares(counts: list[int], most: int) -> list[int]:
+    """How many of each group a sample of ``most`` takes: all of small groups, equal parts of others."""
+    out, left = [0] * len(counts), most
+    order = sorted(range(len(counts)), key=lambda i: (counts[i], i))
+    for k, i in enumerate(order):
+        out[i] = min(counts[i], left // (len(order) - k))
+        left -= out[i]
+    return out
+
+
+def sample_ids(rows: DataFrame, most: int) -> list[int]:
+    """Up to ``most`` doc_ids, stratified by language, each language's by the smallest hashes.
+
+    A bound on the hash, from the language's number of rows, keeps what is ranked small; it lets
+    about four times as many ids pass as are asked for, so repeated ids leave enough.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    asked = [(r["lang"], k, min(1.0, 4 * k / r["n"])) for r, k in zip(counts, shares([r["n"] for r in counts], most), strict=True) if k]
+    if not asked:
+        return []
+    quota = F.broadcast(rows.sparkSession.createDataFrame(asked, "lang string, quota long, share double"))  # at most ``most`` rows
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    some = rows.select("lang", "doc_id", h.alias("h")).join(quota, "lang").where(F.col("h") <= F.col("share") * float(1 << 63)).distinct()
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where("rank <= quota")
+    return sorted({r[0] for r in first.select("doc_id").collect()})
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows_each: int = SAMPLE_WINDOWS) -> Network | None:
     """A network from labelled rows of ``docs`` (doc_id, text, lang); None without any.
 
     Two steps keep the sample small on its way to the driver: ids first, then short pieces of their
-    texts, from places set by the id's hash.
+    texts, from places set by the id's hash. Of several texts of one id and language one is taken,
+    the same one each time, so that the network is the same for the same rows.
     """
-    rows = docs.where("text is not null and lang is not null and doc_id is not null")
-    ids = shared.sample_ids(rows, sample_docs)
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").withColumn("lang", F.col("lang").cast("string"))
+    ids = sample_ids(rows, sample_docs)
     if not ids:
         return None
     place = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
     cut = F.array(*[F.substring("text", place(k).cast("int"), F.lit(WINDOW)) for k in range(windows_each)])
-    picked = rows.where(F.col("doc_id").isin(ids)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.explode(cut).alias("piece"))
-    sample = sorted(tuple(r) for r in picked.limit(4 * sample_docs * windows_each).collect())
-    counts: dict[str, int] = {}
-    for _, lang, _ in sample:
-        counts[lang] = counts.get(lang, 0) + 1
-    languages = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:MOST_LANGUAGES])
+    picked = rows.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min(cut).alias("pieces"))
+    sample = sorted((r["doc_id"], r["lang"], piece) for r in picked.collect() for piece in r["pieces"])
+    languages = sorted({lang for _, lang, piece in sample if piece})
     number = {x: i for i, x in enumerate(languages)}
-    kept = [(number[lang], piece.encode()[:WINDOW]) for _, lang, piece in sample if lang in number and piece]
+    kept = [(number[lang], piece.encode()[:WINDOW]) for _, lang, piece in sample if piece]
     if not kept:
         return None
     windows = np.zeros((len(kept), WINDOW), np.uint8)
@@ -188,8 +211,9 @@ def _answers(batch: pa.RecordBatch, a: int, b: int, languages: list[str], score:
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """``docs`` with lang_pred and lang_score; only ``text`` is read.
 
-    A null text, or one without any letter, is ``und`` with score 0. Rows keep their number; a
-    column of these names that is there already is replaced.
+    A null text, or one without any letter, is ``und`` with score 0. A very long text is scored in
+    batches of windows. Rows keep their number, null ids and repeated rows included; a column of
+    these names that is there already is replaced. An empty table gives an empty one.
     """
     rows = docs.drop("lang_pred", "lang_score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -29,6 +29,46 @@ def test_gradients():
         assert abs((up - down) / (2 * e) - got[name][at]) < 1e-3
 
 
+def plain(net, text):
+    """(language, score) of a text by loops over windows, filters and places."""
+    data, stride = (text or "").encode(), bc.WINDOW - max(bc.WIDTHS) + 1
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    total, n, at = np.zeros(len(net.languages)), 0, 0
+    while n == 0 or at + max(bc.WIDTHS) - 1 < len(data):
+        window = data[at : at + bc.WINDOW].ljust(bc.WINDOW, b"\0")
+        pooled = []
+        for i, width in enumerate(bc.WIDTHS):
+            for f in range(i * bc.FILTERS, (i + 1) * bc.FILTERS):
+                places = [sum(net.w["embed"][window[p + j]].astype(float) @ net.w["conv"][j, :, f] for j in range(width)) for p in range(stride)]
+                pooled.append(max(0.0, max(places) + net.w["bias"][f]))
+        logits = np.array(pooled) @ net.w["out"] + net.w["prior"]
+        total += np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        n, at = n + 1, at + stride
+    return net.languages[int(total.argmax())], float(total.max() / n)
+
+
+def test_predictions_equal_plain_loops(spark):
+    net = bc.Network(["a", "b", "c"])
+    texts = ["x", "Ein Satz über Füße. " * 9, "é" * 63, "word " * 25 + "ab", "wörd " * 75, "12 34", "", None, "q" * (bc.WINDOW + 1)]
+    got = bc.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in got:
+        want = plain(net, r.text)
+        assert r.lang_pred == want[0] and abs(r.lang_score - want[1]) < 1e-5
+
+
+def test_sample_is_stratified_and_repeatable(spark):
+    rows = [(i, f"text {i}", "en") for i in range(2000)] + [(5000 + i, f"texte {i}", f"l{i % 700}") for i in range(1400)] + [(7, f"copy {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = bc.sample_ids(docs, 2000)
+    assert sum(i >= 5000 for i in ids) == 1400 and 0 < sum(i < 5000 for i in ids) <= 600
+    assert bc.shares([2500, 2, 900, 3], 1005) == [500, 2, 500, 3]
+    assert bc.sample_ids(docs.repartition(7), 2000) == ids
+    a, b = (bc.train(x, 300) for x in (docs, docs.repartition(5)))
+    assert a.languages == b.languages and all((a.w[k] == b.w[k]).all() for k in a.w)
+    assert len(bc.train(docs, 3000).languages) == 701
+
+
 def test_odd_rows(odd, docs):
     network = bc.train(docs)
     out = {r.doc_id: (r.lang_pred, r.lang_score) for r in bc.identify(odd.withColumn("lang_score", F.lit("x")), network).collect()}
