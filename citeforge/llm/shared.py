@@ -61,14 +61,19 @@ def _width(c, kind: t.DataType):
     return F.lit(16).cast("long")
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint where a written table's measured size is within the bound.
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table's measured size is within the bound for a broadcast.
 
     The table is read once to measure it, so it should be one that ``materialize`` gave, or a few
     columns of one.
     """
     bytes_ = df.select(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return F.broadcast(df) if bytes_ <= most else df
+    return bytes_ <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where ``is_small`` holds."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def sample_ids(rows: DataFrame, most: int) -> list[int]:

@@ -31,7 +31,7 @@ from citeforge.llm.textvec import column
 #: Payloads of fewer bytes are never revisits.
 LEAST_PAYLOAD = 1000
 BLOCK_LINES = 500
-SALTS = 32
+SALTS = 1 << 20  # so many tasks may share the copies of one payload; salts that no copy has cost nothing
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOOTER = struct.Struct("<qq4s")
@@ -112,17 +112,22 @@ def plan_records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 
     Of equal payloads of ``least`` bytes or more, that of the largest page_id is the response
     (repeated rows of this id all are; rows without an id refer to it, and without any id in the
-    group each is a response). Only digests that occur twice or more are joined, salted so that one
-    payload's copies spread over many tasks.
+    group each is a response). Only digests that occur twice or more are joined: broadcast where they
+    are few, so that the html stays where it was read; else by digest and a salt, and a digest's row
+    is copied for the salts that its copies have, so a payload spreads over as many tasks as need be.
+    A null payload is empty, and very long ones are hashed where they are read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     long_ones = rows.where(F.octet_length("html") >= least)
     groups = long_ones.groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("response"), F.count("*").alias("n"))
-    groups = groups.where((F.col("n") > 1) & F.col("response").isNotNull())
-    groups = groups.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
-    joined = salted.join(groups, ["digest", "salt"], "left")
+    groups = shared.materialize(groups.where((F.col("n") > 1) & F.col("response").isNotNull()).select("digest", "response"), "repeated")
+    if shared.is_small(groups):
+        joined = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        slots = salted(long_ones).select("digest", "salt").distinct().join(groups, "digest")
+        joined = salted(rows).join(slots, ["digest", "salt"], "left")
     target = F.when(~F.col("page_id").eqNullSafe(F.col("response.page_id")), F.col("response"))
     return joined.select("page_id", "url", "html", "digest", target.alias("refers_to"))
 

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from citeforge.llm import shared, warc
@@ -32,19 +33,23 @@ def same(got, want):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
 
 
-def test_pages_round_trip(spark):
+@pytest.mark.parametrize("most", [0, 1 << 25])
+def test_pages_round_trip(spark, most, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     _, got = rows_of(spark, pages)
     same(got, brute([(r.page_id, r.url, r.html) for r in pages.collect()]))
 
 
-def test_odd_pages(spark):
+def test_odd_pages(spark, monkeypatch):
     big = "é" * 600
     rows = [(1, "http://a.com/x", big), (2, "http://A.com/x#y", big), (2, "http://a.com/x", big), (None, None, big), (3, None, None), (4, "", ""), (5, "http://[bad", "x"), (6, "http://a.com/x y\n", "y" * 999), (7, "http://b.org:8080", "y" * 999)]
     rows += [(100 + i, "http://hot.example.com/same", f"{i % 3} {big}") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("offset", F.lit("x"))
     shards, got = rows_of(spark, pages)
     same(got, brute(rows))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    same(rows_of(spark, pages)[1], brute(rows))
     first = shards.first()
     with gzip.open(shared.open_file(warc.lookup(shards, pages.select("url")).first().archive)) as source:
         assert source.read(8) == b"WARC/1.1"
