@@ -74,7 +74,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``text_key`` is the hash of the document's text, so rows of equal id and different text stay
     apart, and repeated rows are one. Null and blank texts hold nothing and are held by nothing; a
-    null id is kept as null. Other columns are not read.
+    null id is kept as null. Very long texts stream past the sketches and are verified whole. Other
+    columns are not read. An empty table on either side gives an empty one.
     """
     items = shared.materialize(_items(benchmark), "benchmark-items")
     sketches = shared.small(shared.materialize(_sketches(items), "benchmark-sketches"))
@@ -84,7 +85,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = shingles.join(sketches, "hash").groupBy("doc_id", "text_key", "item").agg(F.count_distinct("hash").alias("hits"), F.first("needed").alias("needed"))
     found = shared.materialize(hits.where("hits >= needed").select("doc_id", "text_key", "item"), "candidates")
     pairs = found.select("text_key", "item").distinct()
-    texts = rows.select("text_key", "text").join(shared.small(found.select("text_key").distinct()), "text_key", "left_semi")
+    texts = rows.select("text_key", "text").join(shared.small(found.select("text_key")), "text_key", "left_semi")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     held = texts.select("text_key", _strings(_padded(words_of(F.col("text")))).alias("held"))
     met = pairs.join(held, "text_key").join(shared.small(items.select("item", "item_id", "shingles")), "item")
@@ -94,9 +95,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
-    found = contained_items(docs, benchmark).select(F.col("text_key").alias("held_text_key")).distinct()
-    return docs.join(shared.small(found), F.xxhash64(docs["text"]) == F.col("held_text_key"), "left_anti")
+    """The rows of ``docs`` that hold no item, all columns as they are, whatever their names.
+
+    Null, empty and blank texts hold nothing and stay; equal texts have one fate. Without items all
+    rows stay.
+    """
+    found = shared.materialize(contained_items(docs, benchmark).select(F.col("text_key").alias("key")).distinct(), "held")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"))
+    return rows.join(shared.small(found), "key", "left_anti").select("row.*")
 
 
 def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,8 +233,10 @@ def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     """``docs`` with base_spans and all_spans, arrays of (start, kind, end, value) by start and kind.
 
-    A null text is empty. Rows keep their number and their other columns; columns of these two
-    names that are there already are replaced. No shuffle.
+    A null text is empty, and an empty one has no spans. Rows keep their number and their other
+    columns, null ids and repeated rows included; columns of these two names that are there already
+    are replaced. A very long text is searched whole, in its row. An empty table gives an empty one.
+    No shuffle.
     """
     ratios = train(labelled_samples(docs)) if ratios is None else ratios
     text = F.coalesce(F.col("text"), F.lit(""))

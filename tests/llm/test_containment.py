@@ -32,7 +32,7 @@ def test_documents_equal_brute_force(spark, docs):
 
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_edited_items_in_long_documents(spark, monkeypatch, most):
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(3 + 7 * k))) for k in range(12)] + [(50, None), (51, " "), (52, "short one")]
     docs = []
     for k, t in items[:12]:
@@ -43,7 +43,7 @@ def test_edited_items_in_long_documents(spark, monkeypatch, most):
                 v[(e * 11 + 2) % len(v)] = "changed"
             docs.append((len(docs), " ".join(["filler words go here"] * 50 + v + ["and more filler"] * 50)))
     docs += [(900, "short one"), (901, "a short one is here now"), (902, None), (None, items[5][1]), (903, items[5][1].upper()), (903, items[5][1].upper()), (904, "")]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("hash", F.lit(2))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("key", F.lit(3)).withColumn("held_text_key", F.lit(4)).withColumn("row", F.lit(5))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     want = brute(docs, items)
     assert found(d, b) == want and any(x[0] is None for x in want) and (900, 52, 1, 1) in want
