@@ -50,6 +50,26 @@ def test_each_stage_equals_brute_force(spark, docs, tmp_path):
     assert sorted(map(key, cp.run(spark, SF).collect())) == sorted(map(key, packed))
 
 
+CLASHING = ["row", "key", "id", "lang_pred", "lang_score", "base_spans", "all_spans", "clean", "clean_text", "gone_id", "gone_key", "again_id", "held_text_key", "text_key", "item", "hash", "words"]
+
+
+def test_columns_with_the_stages_own_names_stay(spark, docs, tmp_path):
+    """What a stage keeps does not depend on other columns, and these stay as they are."""
+    plain = docs.where("doc_id < 60")
+    more = plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    for i, (_, stage) in enumerate(cp.STAGES):
+        outs = [stage(spark, table, SF) for table in (plain, more)]
+        if i == 4:
+            break
+        assert outs[1].columns == more.columns
+        for k, out in enumerate(outs):
+            out.write.parquet(f"{tmp_path}/{i}.{k}")
+        plain, more = (spark.read.parquet(f"{tmp_path}/{i}.{k}") for k in (0, 1))
+        rows = more.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING)
+        assert sorted(map(tuple, plain.collect())) == sorted(tuple(r[c] for c in plain.columns) for r in rows)
+
+
 def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
     for name, table in (("odd", odd), ("empty", empty)):
         for i, (_, stage) in enumerate(cp.STAGES):
