@@ -15,32 +15,43 @@ from citeforge.llm import bytecnn, containment, markov, oddsketch, packing, shar
 LEAST_SCORE = 0.5
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside what a stage reads, so that no name can clash."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose language is not clear."""
-    known = bytecnn.identify(docs, bytecnn.train(docs.select("doc_id", "text", "lang")))
-    return known.where((F.col("lang_pred") != bytecnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+    """Drop documents without a letter (null and empty texts too), and those whose language is not
+    clear. Repeated rows and null ids have one fate by their text; an empty table stays empty."""
+    network = bytecnn.train(docs.select("doc_id", "text", "lang"))
+    known = bytecnn.identify(_carried(docs), network)
+    return known.where((F.col("lang_pred") != bytecnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies."""
+    """Keep the document of the smallest id of each group of near copies; of repeated rows one stays.
+
+    Texts without a word, and rows without an id, stay.
+    """
     return oddsketch.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; null and empty texts hold none."""
     return containment.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mark; n_chars follows the text where it changes."""
-    found = markov.find_secrets(docs).withColumn("clean_text", markov.redacted(F.col("text"), F.col("all_spans")))
+    """Replace secrets by a mark; n_chars follows the text where it changes. Null texts stay null,
+    and all rows stay, repeated ones included."""
+    found = markov.find_secrets(_carried(docs)).withColumn("clean", markov.redacted(F.col("text"), F.col("all_spans")))
     changed = F.size("all_spans") > 0
-    columns = {"text": F.col("clean_text"), "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return found.select([columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    columns = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select([columns[c].alias(c) if c in columns else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id pieces in sequences of at most 4096."""
+    """Token-id pieces in sequences of at most 4096; a null or empty text is one end token."""
     return packing.pack_documents(docs)
 
 
