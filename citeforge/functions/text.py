@@ -17,7 +17,8 @@ RETRIEVAL_STOPWORDS = ["a", "an", "and", "as", "by", "does", "is", "it", "of", "
 SEMANTIC_STOPWORDS = ["a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "was", "were", "with"]
 NEGATIONS = ["no", "not", "never", "none", "without"]
 
-# Values that count as not set, and credential patterns.
+# Values that count as not set. The third credential pattern is this engine's own: any
+# assignment to a name that ends in _API_KEY.
 UNSET = ["", "unset", "not_recorded", "not_applicable_for_ready_check"]
 CREDENTIALS = [r"sk-[A-Za-z0-9_\-]{12,}", r"(?i)Bearer\s+[A-Za-z0-9_\-.]{12,}", r"(?i)[A-Z]+_API_KEY\s*="]
 
@@ -32,8 +33,12 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[truthy(c) for c in columns], F.lit(""))
 
 
+#: The characters of ``WS``, for trimming, which unlike a pattern at the end takes linear time.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, rf"\A{WS}+", ""), rf"{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize(c: Column) -> Column:
@@ -56,7 +61,7 @@ def short_hash(c: Column) -> Column:
 
 def span_hash(c: Column) -> Column:
     """Hash of a span: text and each of its lines without blanks at the end; line ends become one."""
-    lines = F.transform(F.split(strip(c), LINEBREAK, -1), lambda s: F.regexp_replace(s, rf"{WS}+\z", ""))
+    lines = F.transform(F.split(strip(c), LINEBREAK, -1), lambda s: F.rtrim(s, F.lit(BLANKS)))
     return sha256(F.array_join(lines, "\n"))
 
 
@@ -97,8 +102,30 @@ def has_credential(c: Column) -> Column:
     return hit
 
 
-def is_unset(c: Column) -> Column:
-    return c.isNull() | F.lower(F.trim(c)).isin(UNSET)
+def has_marker(c: Column) -> Column:
+    """Marks of an unfinished prompt."""
+    return F.lower(c).rlike("tbd|todo|turn[0-9]+")
+
+
+def confirmation_url(html: Column, base: Column) -> Column:
+    """The link that confirms a download on a warning page: one that has it, else the form's inputs
+    as a query on ``base``; null where neither has a confirm value."""
+    link = unescape(F.nullif(F.regexp_extract(html, r'href="([^"]*[?&](?:amp;)?confirm=[^"]*)"', 1), F.lit("")))
+    inputs = F.transform(F.regexp_extract_all(html, F.lit(r"(<input\b[^>]*>)"), F.lit(1)), html_attributes)
+    named = F.filter(inputs, lambda m: m["name"].isNotNull())
+    pairs = F.transform(named, lambda m: F.concat(F.url_encode(m["name"]), F.lit("="), F.url_encode(F.coalesce(m["value"], F.lit("")))))
+    form = F.when(F.exists(named, lambda m: m["name"] == "confirm"), F.concat(base, F.lit("?"), F.array_join(pairs, "&")))
+    return F.coalesce(link, form)
+
+
+def is_unset(c: Column, strict: bool = False) -> Column:
+    """Null, or one of the words for it; with ``strict`` only the exact empty string and ``unset``."""
+    return c.isNull() | (c.isin("", "unset") if strict else F.lower(F.trim(c)).isin(UNSET))
+
+
+def is_empty(c: Column) -> Column:
+    """A list or map that is null or has no entry counts as not set."""
+    return F.coalesce(F.size(c), F.lit(0)) <= 0
 
 
 def is_positive(c: Column) -> Column:

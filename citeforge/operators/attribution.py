@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
+from citeforge.operators.judging import settled
 
+# The parts of a pointer in their order, and label and status names.
 PARTS = ["dataset_id", "source_id", "snapshot_hash", "span_id", "span_hash"]
 
 UNSUPPORTED = ["unsupported", "contradictory", "insufficient_evidence"]
@@ -39,27 +43,50 @@ def resolve_legacy(citations: DataFrame, evidence: DataFrame, keys: list[str] |
     return citations.join(known, ["run_id", "cited_id"], "left").withColumn("citation_id", F.coalesce("pointer_id", "cited_id")).drop("pointer_id")
 
 
+#: What each level of a pointer is looked up by; the last of them is the whole pointer.
+LEVELS = {
+    "_source": ["dataset_id", "source_id"],
+    "_span": ["dataset_id", "source_id", "span_id"],
+    "_snapshot": ["dataset_id", "source_id", "span_id", "snapshot_hash"],
+    "_hash": ["dataset_id", "source_id", "span_id", "snapshot_hash", "span_hash"],
+}
+
+
+def _keys(parts: dict[str, Column]) -> Column:
+    """(level, key) of each level; null where a part is. No part of a parsed pointer has a slash, so
+    a key has as many slashes as its level only if it is made of such parts."""
+    joined = lambda names: F.concat(*[x for n in names for x in (F.lit("/"), parts[n])])
+    return F.array(*[F.struct(F.lit(level).alias("level"), joined(names).alias("key")) for level, names in LEVELS.items()])
+
+
 def validate(citations: DataFrame, ledger: DataFrame, retrieved: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Add the status of each citation and everything that follows from it.
 
     ``citations`` has citation_id and the scope columns; ``ledger`` the scope columns, dataset_id,
     source_id, snapshot_hash, span_id and span_hash; ``retrieved`` the scope columns and
     citation_id. An optional column semantic_label refines valid citations. The first rule that
-    applies decides: form, source, span, snapshot, hash, retrieval, label. A row of the ledger
-    matters only through its keys, so each side is reduced to distinct keys before it is joined.
+    applies decides: form, source, span, snapshot, hash, retrieval, label.
+
+    A status depends on the scope and the cited id alone, so distinct ids are looked up: their keys
+    at all levels in one join with the ledger's distinct keys and the retrieved ids. Each table is
+    read once; the citations are written once and joined with their ids' flags.
     """
     scope = scope or []
     label = F.col("semantic_label") if "semantic_label" in citations.columns else F.lit(None).cast("string")
-    rows = citations.withColumn("_p", parsed(F.col("citation_id")))
-    rows = rows.select("*", *[F.col(f"_p.{n}").alias(f"_{n}") for n in PARTS])
-    keyed = lambda extra: ledger.select(*scope, *[F.col(n).alias(f"_{n}") for n in extra]).distinct()
-    steps = [("_source", PARTS[:2]), ("_span", ["dataset_id", "source_id", "span_id"]), ("_snapshot", ["dataset_id", "source_id", "span_id", "snapshot_hash"]), ("_hash", PARTS)]
-    for flag, names in steps:
-        rows = rows.join(keyed(names).withColumn(flag, F.lit(True)), [*scope, *[f"_{n}" for n in names]], "left")
-    rows = rows.join(retrieved.select(*scope, "citation_id").distinct().withColumn("_retrieved", F.lit(True)), [*scope, "citation_id"], "left")
+    rows = settled(citations)
+    ids = rows.select(*scope, "citation_id").distinct().withColumn("_p", parsed(F.col("citation_id")))
+    own = lambda level: F.array(F.struct(F.lit(level).alias("level"), F.col("citation_id").alias("key")))
+    asked = ids.where("_p is not null").select(*scope, "citation_id", F.explode(F.concat(_keys({n: F.col(f"_p.{n}") for n in PARTS}), own("_retrieved"))).alias("k"))
+    known = ledger.select(*scope, F.explode(_keys({n: F.col(n) for n in PARTS})).alias("k")).union(retrieved.select(*scope, F.explode(own("_retrieved")).alias("k")))
+    known = known.select(*scope, "k.level", "k.key").where("key is not null").distinct()
+    flags = [*LEVELS, "_retrieved"]
+    met = asked.select(*scope, "citation_id", "k.level", "k.key").join(known, [*scope, "level", "key"])
+    met = met.groupBy(*scope, "citation_id").agg(*[F.max(F.col("level") == f).alias(f) for f in flags])
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = rows.join(met, [*scope, "citation_id"], "left")
+    formed = parsed(F.col("citation_id")).isNotNull()
     status = (
-        F.when(F.col("_p").isNull(), "malformed_citation_id")
+        F.when(~formed, "malformed_citation_id")
         .when(~has("_source") | ~has("_span"), "nonexistent_citation_id")
         .when(~has("_snapshot"), "wrong_snapshot_hash")
         .when(~has("_hash"), "wrong_span_hash")
@@ -68,9 +95,8 @@ def validate(citations: DataFrame, ledger: DataFrame, retrieved: DataFrame, scop
         .when(label.isin(PARTIAL), "overclaim_partially_supported_claim")
         .otherwise("valid_citation")
     )
-    rows = rows.withColumn("validator_status", status).withColumn("source_exists", F.col("_p").isNotNull() & has("_source"))
-    out = rows.drop("_p", *[f"_{n}" for n in PARTS], *[f for f, _ in steps if f != "_source"], "_source", "_retrieved")
-    return with_flags(out, label)
+    rows = rows.withColumns({"validator_status": status, "source_exists": has("_source")}).drop(*flags)
+    return with_flags(rows, label)
 
 
 def with_flags(rows: DataFrame, label: Column) -> DataFrame:
@@ -90,9 +116,16 @@ def with_flags(rows: DataFrame, label: Column) -> DataFrame:
     )
 
 
-def verdict(claim: Column, span: Column) -> Column:
-    """Struct of verdict and confidence from the two texts' distinct tokens."""
-    c, s = (F.array_distinct(T.tokens(F.coalesce(x, F.lit("")), T.SEMANTIC_STOPWORDS)) for x in (claim, span))
+def meaning(c: Column) -> Column:
+    """A text's distinct tokens without the stop words of the support test."""
+    return F.array_distinct(T.tokens(F.coalesce(c, F.lit("")), T.SEMANTIC_STOPWORDS))
+
+
+def verdict(c: Column, s: Column) -> Column:
+    """Struct of verdict and confidence from a claim's and a span's ``meaning``.
+
+    These are columns of their own by then: each text is tokenised once, where it is read.
+    """
     negations = F.array(*map(F.lit, T.NEGATIONS))
     shared = F.array_intersect(c, s)
     ratio = F.coalesce(F.try_divide(F.size(shared).cast("double"), F.size(c).cast("double")), F.lit(0.0))
@@ -108,14 +141,56 @@ def verdict(claim: Column, span: Column) -> Column:
     return F.struct(name.alias("verdict"), sure.alias("confidence"))
 
 
-def semantic_records(validations: DataFrame) -> DataFrame:
+def span_facts(spans: DataFrame, *keys: str) -> DataFrame:
+    """What judging needs of each span (keys..., span_text): its meaning, excerpt and hash.
+
+    A span is read and tokenised once, however many citations it has, and its text stays where it is.
+    """
+    text = F.col("span_text")
+    return spans.select(*keys, meaning(text).alias("span_meaning"), T.excerpt(text).alias("span_excerpt"), T.sha256(F.coalesce(text, F.lit(""))).alias("span_sha256"), text.isNotNull().alias("span_found"), (F.trim(F.coalesce(text, F.lit(""))) != "").alias("span_filled"))
+
+
+Evaluator = Callable[[Column, Column], Column]
+
+
+def semantic_records(validations: DataFrame, evaluate: Evaluator = verdict) -> DataFrame:
     """Verdicts of structurally valid citations; others are skipped, those without a span errors.
 
-    ``validations`` has claim_text and span_text next to the validator's columns.
+    ``validations`` has claim_text and the columns of ``span_facts`` next to the validator's.
+    ``evaluate`` takes the two meanings and gives a struct of verdict and confidence.
     """
     judged = F.col("structural_validity") == "valid"
-    status = F.when(~judged, "skipped").when(F.col("span_text").isNull(), "error").otherwise("evaluated")
-    rows = validations.withColumn("semantic_status", status).withColumn("_v", verdict(F.col("claim_text"), F.col("span_text")))
-    keep = F.col("semantic_status") == "evaluated"
-    rows = rows.withColumn("verdict", F.when(keep, F.col("_v.verdict"))).withColumn("confidence", F.when(keep, F.col("_v.confidence")))
-    return rows.withColumn("claim_excerpt", T.excerpt(F.col("claim_text"))).withColumn("span_excerpt", T.excerpt(F.col("span_text"))).drop("_v")
+    found = F.coalesce("span_found", F.lit(False))
+    status = F.when(~judged, "skipped").when(~found, "error").otherwise("evaluated")
+    rows = validations.withColumn("semantic_status", status).withColumn("claim_meaning", F.when(judged & found, meaning(F.col("claim_text"))))
+    rows = rows.withColumn("_v", F.when(F.col("claim_meaning").isNotNull(), evaluate(F.col("claim_meaning"), F.col("span_meaning"))))
+    rows = rows.withColumn("verdict", F.col("_v.verdict")).withColumn("confidence", F.col("_v.confidence"))
+    rows = rows.withColumn("claim_excerpt", T.excerpt(F.col("claim_text"))).withColumn("span_excerpt", F.coalesce("span_excerpt", F.lit("")))
+    return rows.drop("_v", "claim_meaning", "span_meaning")
+
+
+def labelled(citations: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
+    """Citations with semantic_label from judged rows (keys..., judge_label, order); the last one wins."""
+    last = labels.groupBy(*keys).agg(F.max_by("judge_label", "order").alias("semantic_label"))
+    return citations.join(last, list(keys), "left")
+
+
+def sanitise(citations: DataFrame, evidence: DataFrame, ledger: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Cited ids without quotes, resolved from older ids and validated; ``kept`` are the valid ones.
+
+    ``citations`` has run_id and cited_id; dropped ones keep their validation_error as the reason.
+    """
+    cleaned = citations.withColumn("cited_id", T.citation_id(F.coalesce("cited_id", F.lit(""))))
+    checked = validate(resolve_legacy(cleaned, evidence), ledger, retrieved)
+    return checked.withColumn("kept", F.col("structural_validity") == "valid")
+
+
+def diagnostics(checked: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per run: claims, kept and dropped citations, and claims that no kept citation names.
+
+    ``checked`` comes from ``sanitise``; ``claims`` has run_id and claim_id.
+    """
+    named = checked.where("kept").select("run_id", "claim_id").distinct().withColumn("_named", F.lit(1))
+    by_claim = claims.select("run_id", "claim_id").distinct().join(named, ["run_id", "claim_id"], "left").groupBy("run_id").agg(F.count("*").alias("claim_count"), (F.count("*") - F.count("_named")).alias("uncited_claim_count"))
+    by_citation = checked.groupBy("run_id").agg(F.count_if("kept").alias("kept_count"), F.count_if(~F.col("kept")).alias("dropped_count"))
+    return by_claim.join(by_citation, "run_id", "left").fillna(0, ["kept_count", "dropped_count"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
-from citeforge.operators.judging import with_group_ordinal
+from citeforge.operators.judging import settled, with_group_ordinal
+from citeforge.operators.sizing import small
 
 
 def ledger_documents(docs: DataFrame) -> DataFrame:
@@ -65,19 +66,24 @@ def posting_blocks(posted: DataFrame, *keys: str, block: int = 1024) -> DataFram
 
 def ordered_digest(rows: DataFrame, order: str, value: Column, *keys: str) -> DataFrame:
     """``digest_tree`` of rows by ``order``; digests alone are shuffled to number the leaves."""
-    leaves = rows.select(*keys, order, T.sha256(value).alias("_leaf"))
-    numbered = with_group_ordinal(leaves, list(keys), [order], "_n").withColumn("_n", F.col("_n") - 1)
+    leaves = rows.select(*keys, F.col(order).alias("_order"), T.sha256(value).alias("_leaf"))
+    numbered = with_group_ordinal(leaves, list(keys), ["_order"], "_n").withColumn("_n", F.col("_n") - 1)
     return digest_tree(numbered, "_n", None, *keys, digest="_leaf")
 
 
-def digest_tree(rows: DataFrame, order: str, value: Column | None, *keys: str, digest: str | None = None, width: int = 1024, levels: int = 3) -> DataFrame:
+def digest_tree(rows: DataFrame, order: str, value: Column | None, *keys: str, digest: str | None = None, width: int = 1024) -> DataFrame:
     """Order-sensitive digest of each group of rows as a hash tree of ``width`` leaves a node.
 
     Leaves are numbered from 0 by ``order``, and ``digest`` names their hashes where these are there
-    already; a level hashes the joined digests of its children. No
-    task ever holds more than ``width`` digests of a group.
+    already; a level hashes the joined digests of its children. There are at least three levels, and
+    as many more as the largest group needs to come down to one node. No task ever holds more than
+    ``width`` digests of a group.
     """
     level = rows.select(*keys, F.col(order).alias("_at"), (F.col(digest) if digest else T.sha256(value)).alias("_digest"))
+    last = level.agg(F.max("_at")).first()[0] or 0
+    levels = 3
+    while width**levels <= last:
+        levels += 1
     for _ in range(levels):
         child = F.struct("_at", "_digest")
         grouped = level.groupBy(*keys, F.floor(F.col("_at") / width).alias("_up")).agg(F.sort_array(F.collect_list(child)).alias("_children"))
@@ -91,21 +97,31 @@ def query_terms(questions: DataFrame, stopwords: list[str] | None = None) -> Dat
     return exploded.groupBy("question_id", "token").agg(F.count("*").alias("query_frequency"))
 
 
-def _scores(questions: DataFrame, corpus: DataFrame, keys: list[str], scope: DataFrame | None = None) -> DataFrame:
+def asked_postings(corpus: DataFrame, terms: DataFrame, key: str, stopwords: list[str] | None = None, *kept: str) -> DataFrame:
+    """``postings`` of the tokens in ``terms`` alone, dealt by ``key``.
+
+    Tokens that nobody asks for go before the only shuffle. All that follows by ``key`` and further
+    columns finds its rows in place.
+    """
+    exploded = corpus.select(key, *kept, F.explode(T.tokens(F.col("text"), stopwords)).alias("token"))
+    asked = exploded.join(small(settled(terms.select("token").distinct())), "token", "left_semi")
+    return asked.repartition(key).groupBy(key, *kept, "token").agg(F.count("*").alias("term_frequency"))
+
+
+def _scores(questions: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Summed term frequencies by question and document.
 
-    Documents are reduced to the tokens that any question asks for before the only shuffle of the
-    corpus; the terms of the questions are the small side.
+    The sums are made where the document's tokens are; of a question's documents only the best of
+    each partition leave it, once a rank is asked for.
     """
-    terms = query_terms(questions)
-    asked = postings(corpus.join(scope, keys, "left_semi") if scope is not None else corpus, *keys)
-    met = asked.join(terms, "token")
-    return met.groupBy("question_id", *keys).agg(F.sum(F.col("query_frequency") * F.col("term_frequency")).alias("score"))
+    terms = settled(query_terms(questions))
+    met = asked_postings(corpus, terms, key).join(small(terms), "token")
+    return met.groupBy("question_id", key).agg(F.sum(F.col("query_frequency") * F.col("term_frequency")).alias("score"))
 
 
 def rank_evidence(questions: DataFrame, corpus: DataFrame, top_k: int = 8) -> DataFrame:
     """The documents of greatest summed term frequency for each question; ties by source_doc_id."""
-    scores = _scores(questions, corpus, ["source_doc_id"])
+    scores = _scores(questions, corpus, "source_doc_id")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source_doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
@@ -113,33 +129,40 @@ def rank_evidence(questions: DataFrame, corpus: DataFrame, top_k: int = 8) -> Da
 def rank_scoped(questions: DataFrame, corpus: DataFrame, context: DataFrame, top_k: int = 8) -> DataFrame:
     """As ``rank_evidence`` among each question's own context (question_id, source_doc_id).
 
-    Context documents that match nothing fill up with score 0.
+    Context documents that match nothing fill up with score 0. A question without a context is
+    ranked among all documents.
     """
-    scores = _scores(questions, corpus, ["source_doc_id"], context.select("source_doc_id").distinct())
+    scores = _scores(questions, corpus.join(context.select("source_doc_id").distinct(), "source_doc_id", "left_semi"), "source_doc_id")
     rows = context.join(scores, ["question_id", "source_doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source_doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    free = settled(questions.join(context.select("question_id").distinct(), "question_id", "left_anti"))
+    return ranked if free.isEmpty() else ranked.unionByName(rank_evidence(free, corpus, top_k))
 
 
 def retrieve_spans(questions: DataFrame, spans: DataFrame, top_k: int = 2) -> DataFrame:
     """Multiset overlap with each span, weighted by coverage of the question and by span length.
 
-    Spans (span_id, text) without overlap fill up with score 0, smallest ids first.
+    Spans (span_id, text) without overlap fill up with score 0, smallest ids first. The length of a
+    span is counted where it is read and goes along with its tokens.
     """
-    terms = query_terms(questions, T.RETRIEVAL_STOPWORDS)
+    terms = settled(query_terms(questions, T.RETRIEVAL_STOPWORDS))
     wide = terms.groupBy("question_id").agg(F.count("*").alias("distinct_terms"))
-    own = T.tokens(F.col("text"), T.RETRIEVAL_STOPWORDS)
-    counted = spans.select("span_id", F.size(own).alias("n"), own.alias("t")).select("span_id", "n", F.explode("t").alias("token")).groupBy("span_id", "n", "token").agg(F.count("*").alias("f"))
-    overlap = counted.join(terms, "token").groupBy("question_id", "span_id", "n").agg(F.sum(F.least("f", "query_frequency")).alias("overlap"))
+    own = spans.select("span_id", T.tokens(F.col("text"), T.RETRIEVAL_STOPWORDS).alias("t")).select("span_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    asked = own.join(small(settled(terms.select("token").distinct())), "token", "left_semi")
+    counted = asked.repartition("span_id").groupBy("span_id", "n", "token").agg(F.count("*").alias("f"))
+    known = terms.join(wide, "question_id")
+    overlap = counted.join(small(settled(known)), "token").groupBy("question_id", "span_id", "n", "distinct_terms").agg(F.sum(F.least("f", "query_frequency")).alias("overlap"))
     o = F.col("overlap").cast("double")
     score = F.bround(o / F.col("distinct_terms") + o / F.sqrt(F.col("n").cast("double")), 6)
-    met = overlap.join(wide, "question_id").select("question_id", "span_id", score.alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "span_id")
-    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("rank")
-    # Among the smallest top_k ids and the best ones there are enough rows to fill every question.
-    first = [r[0] for r in spans.select("span_id").distinct().orderBy("span_id").limit(top_k).collect()]
-    fill = questions.select("question_id", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("span_id"))
-    fill = fill.join(met, ["question_id", "span_id"], "left_anti").withColumn("score", F.lit(0.0))
+    met = overlap.select("question_id", "span_id", score.alias("score"))
+    best = settled(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("rank"))
+    # A question with fewer than top_k rows has all its spans there, so the smallest other ids fill up.
+    first = [r[0] for r in spans.select("span_id").distinct().orderBy("span_id").limit(2 * top_k).collect()]
+    short = questions.select("question_id").join(best.groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") >= top_k), "question_id", "left_anti")
+    fill = short.select("question_id", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("span_id"))
+    fill = fill.join(best, ["question_id", "span_id"], "left_anti").withColumn("score", F.lit(0.0))
     more = fill.unionByName(best)
     return more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
@@ -149,10 +172,17 @@ def process_contexts(records: DataFrame) -> DataFrame:
 
     ``records`` has question_id, source_uri and context array<struct<title, sentences>>.
     """
-    rows = records.select("question_id", "source_uri", F.posexplode("context").alias("context_index", "c"))
-    doc = F.concat_ws("_", T.id_part(F.col("question_id")), F.lit("doc"), F.col("context_index").cast("string"), T.slug(F.col("c.title")))
-    body = F.filter(F.transform(F.col("c.sentences"), lambda s: T.normalize(s)), lambda s: s != "")
-    rows = rows.select("question_id", "context_index", F.col("c.title").alias("title"), doc.alias("source_doc_id"), F.concat_ws(" ", body).alias("text"), F.concat("source_uri", F.lit("#question="), "question_id", F.lit("&context="), F.col("context_index").cast("string")).alias("source_uri"))
+    entries = records.select("question_id", "source_uri", F.posexplode("context").alias("context_index", "c"))
+    return context_rows(entries.select("question_id", "source_uri", "context_index", "c.title", "c.sentences"))
+
+
+def context_rows(entries: DataFrame) -> DataFrame:
+    """Corpus rows of entries (question_id, source_uri, context_index, title, sentences)."""
+    place = F.col("context_index").cast("string")
+    doc = F.concat_ws("_", T.id_part(F.col("question_id")), F.lit("doc"), place, T.slug(F.col("title")))
+    body = F.filter(F.transform("sentences", lambda s: T.normalize(s)), lambda s: s != "")
+    uri = F.concat("source_uri", F.lit("#question="), "question_id", F.lit("&context="), place)
+    rows = entries.select("question_id", "context_index", "title", doc.alias("source_doc_id"), F.concat_ws(" ", body).alias("text"), uri.alias("source_uri"))
     return rows.withColumn("source_hash", T.sha256(F.col("text")))
 
 
@@ -166,3 +196,30 @@ def support_references(facts: DataFrame, corpus: DataFrame) -> DataFrame:
     rows = facts.withColumn("title_key", title).join(last, ["question_id", "title_key"], "left")
     ident = F.when(F.col("source_doc_id").isNotNull(), F.concat("source_doc_id", F.lit("_sent_"), F.col("sentence_index").cast("string")))
     return rows.withColumn("sentence_id", ident).drop("title_key")
+
+
+def paragraph_rows(paragraphs: DataFrame) -> DataFrame:
+    """Corpus rows of question paragraphs, which name their place and text in several ways.
+
+    ``paragraphs`` has question_id, source_uri, position (from 0), idx, paragraph_idx, title,
+    paragraph_text, text, paragraph and is_supporting, any of them null.
+    """
+    idx = F.coalesce("idx", "paragraph_idx", "position").cast("long")
+    title = T.normalize(F.coalesce(T.truthy(F.col("title")), F.concat(F.lit("paragraph_"), idx.cast("string"))))
+    body = T.normalize(T.first_of(F.col("paragraph_text"), F.col("text"), F.col("paragraph")))
+    rows = paragraphs.select("question_id", "source_uri", "position", idx.alias("paragraph_idx"), title.alias("title"), body.alias("text"), F.coalesce("is_supporting", F.lit(False)).alias("is_supporting"))
+    doc = F.concat_ws("_", F.lit("musique"), T.slug(F.col("question_id")), F.lit("para"), F.col("paragraph_idx").cast("string"), T.slug(F.col("title")))
+    uri = F.concat("source_uri", F.lit("#question="), "question_id", F.lit("&paragraph="), F.col("paragraph_idx").cast("string"))
+    return rows.withColumns({"source_doc_id": doc, "source_uri": uri, "source_hash": T.sha256(F.col("text"))})
+
+
+def paragraph_support(paragraphs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Supporting paragraphs with their document; a paragraph without a place counts as number 0 here,
+    and of equal numbers in a question the last paragraph is meant.
+
+    ``corpus`` comes from ``paragraph_rows``.
+    """
+    asked = paragraphs.where(F.coalesce("is_supporting", F.lit(False)))
+    asked = asked.select("question_id", "position", F.coalesce("idx", "paragraph_idx", F.lit(0)).cast("long").alias("paragraph_idx"))
+    last = corpus.groupBy("question_id", "paragraph_idx").agg(F.max_by(F.struct("source_doc_id", "title"), "position").alias("_d"))
+    return asked.join(last, ["question_id", "paragraph_idx"], "left").select("question_id", "position", "paragraph_idx", "_d.source_doc_id", "_d.title")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
 
+# Label names, and the order in which labels are audited.
 LABELS = ["entailed", "partially_supported", "unsupported", "contradictory", "insufficient_evidence"]
 AUDIT_PRIORITY = ["contradictory", "partially_supported", "unsupported", "insufficient_evidence", "entailed"]
 
@@ -124,6 +125,14 @@ def compare_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumns({"changed": changed, "from_contradictory": changed & (F.col("old_label") == "contradictory"), "from_entailed": changed & (F.col("old_label") == "entailed") & softer})
 
 
+def comparison_summary(compared: DataFrame) -> DataFrame:
+    """One row: how many labels were compared and changed, and the changes that matter most."""
+    n = F.count("*")
+    counts = {"changed_count": "changed", "from_contradictory_count": "from_contradictory", "from_entailed_count": "from_entailed"}
+    rate = F.coalesce(F.try_divide(F.count_if("changed").cast("double"), n.cast("double")), F.lit(0.0))
+    return compared.agg(n.alias("compared_count"), *[F.count_if(c).alias(k) for k, c in counts.items()], rate.alias("disagreement_rate"))
+
+
 def label_distribution(rows: DataFrame, column: str = "judge_label") -> DataFrame:
     """Count of each label; the known ones are there with 0 too, others follow."""
     known = rows.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")

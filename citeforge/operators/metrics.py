@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
+from citeforge.operators.judging import settled
 
+# Verdict names, and below the names of metrics and recommendations.
 VERDICTS = ["entailed", "partially_supported", "contradictory", "unsupported", "insufficient_evidence"]
 
 
@@ -63,9 +65,11 @@ def audit(runs: DataFrame, claims: DataFrame, records: DataFrame) -> DataFrame:
 
     ``runs`` has run_id, dataset_id, baseline and refusal_label; ``claims`` the first three and
     claim_id; ``records`` (semantic records) these and the validator's columns. Each grain is
-    reduced on its own with one cube and the three small results are joined.
+    reduced on its own with one cube and the three small results are joined; the records, without
+    texts, are written once for their two grains.
     """
     keys = ["dataset_id", "baseline"]
+    records = settled(records.select("run_id", *keys, "claim_id", "validator_status", "structural_validity", "validation_error", "span_replay_success", "snapshot_replay_success", "semantic_status", "verdict"))
     cube = lambda df, **aggs: df.cube(*keys).agg(F.grouping_id().alias("grouping"), *[c.alias(n) for n, c in aggs.items()])
     by_run = cube(runs, record_count=F.count("*"), refusal_count=_count(F.coalesce(F.col("refusal_label") != "answered", F.lit(True))))
     cited = records.groupBy("run_id", "claim_id").agg(F.lit(1).alias("any_citation"), F.max(F.when(F.col("structural_validity") == "valid", 1)).alias("valid_citation"))
@@ -90,6 +94,27 @@ def audit(runs: DataFrame, claims: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def by_baseline(runs: DataFrame, claims: DataFrame, records: DataFrame) -> DataFrame:
+    """Structural and semantic metrics of each baseline, from three grains that are reduced first.
+
+    ``runs`` has baseline, text and refusal_label, ``claims`` baseline, ``records`` run_id, claim_id,
+    baseline and the columns of semantic records.
+    """
+    valid = F.when(F.col("structural_validity") == "valid", F.struct("run_id", "claim_id"))
+    x = records.groupBy("baseline").agg(*[c.alias(n) for n, c in (validation_counts() | semantic_counts()).items()], F.count_distinct(valid).alias("cited_claims"))
+    y = runs.groupBy("baseline").agg(F.count("*").alias("run_record_count"), F.sum(F.length("text")).alias("chars"), _count(F.col("refusal_label") != "answered").alias("refusals"))
+    z = claims.groupBy("baseline").agg(F.count("*").alias("claim_count"))
+    rows = semantic_rates(validation_rates(y.join(x, "baseline").join(z, "baseline")))
+    over = {
+        "claim_count_per_answer": ("claim_count", "run_record_count"),
+        "citation_count_per_answer": ("citation_count", "run_record_count"),
+        "claim_citation_coverage": ("cited_claims", "claim_count"),
+        "answer_length": ("chars", "run_record_count"),
+        "refusal_rate": ("refusals", "run_record_count"),
+    }
+    return rows.withColumns({k: T.rate(F.col(a), F.col(b)) for k, (a, b) in over.items()}).drop("chars", "refusals", "cited_claims")
+
+
 def review(runs: DataFrame) -> DataFrame:
     """Run statistics overall and by baseline, with a recommendation.
 

@@ -53,6 +53,28 @@ def snapshot_rules() -> list[Rule]:
     return rules
 
 
+def registry_errors(records: DataFrame, key: str, required: list[str], allowed: dict[str, list[str]], expected: DataFrame) -> DataFrame:
+    """(record, field, message): duplicate ids, expected ids that are missing, fields that are not
+    there and values that are not among the allowed ones."""
+    named = lambda df, message: df.select(F.col(key).alias("record"), F.lit(key).alias("field"), F.lit(message).alias("message"))
+    missing = set_differences(expected, records, key).where("problem = 'missing'")
+    rules = [Rule(f, "required field is missing", F.col(f).isNull()) for f in required]
+    rules += [Rule(f, "unknown value", ~F.col(f).isin(values)) for f, values in allowed.items()]
+    broken = blockers(records, rules, key).distinct().withColumnRenamed(key, "record")
+    return named(duplicates(records, key), "duplicate id").union(named(missing, "expected id is missing")).union(broken)
+
+
+def source_gate(records: DataFrame, found: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """What keeps sources from being indexed: hashes that are not locked, or not those of the data.
+
+    ``found`` has the key and found_hash, the digest of the corpus as it is.
+    """
+    fields = ["raw_data_hash", "processed_corpus_hash", "split_hash"]
+    rules = [Rule(f, f"{f} is not locked", T.is_unset(F.col(f))) for f in fields]
+    rules.append(Rule("processed_corpus_hash", "corpus is not the recorded one", ~F.col("processed_corpus_hash").eqNullSafe(F.col("found_hash")) | F.col("processed_corpus_hash").isNull()))
+    return blockers(records.join(found, key, "left"), rules, key)
+
+
 def duplicates(records: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their number."""
     return records.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

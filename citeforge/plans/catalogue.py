@@ -6,9 +6,7 @@ order-free set of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
@@ -17,25 +15,12 @@ from citeforge.operators import evidence as E
 from citeforge.operators import judging as J
 from citeforge.operators import metrics as M
 from citeforge.operators import rules as R
+from citeforge.operators.judging import settled
+from citeforge.operators.sizing import small
 from citeforge.plans import tables as B
+from citeforge.plans.registry import query
 from citeforge.streaming.audit import pending
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a function as a query, with its oracle."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
 # Ledger and text functions
 
 _LD = f"""d0 AS (SELECT doc_id, 'doc_' || doc_id AS source_doc_id, 'corpus://' || source || '/' || doc_id AS source_uri, {B.norm("coalesce(text, '')")} AS text FROM documents),
@@ -190,17 +175,28 @@ def pilot_retrieval_metrics(spark, d):
 def _support(items: DataFrame, corpus: DataFrame) -> DataFrame:
     """(question_id, source_doc_id) where the document's text contains the question's.
 
-    A containing document has the question's longest word inside some word of its own, so documents
-    are matched on the question's second and third words as whole words, then checked.
+    A containing document has all words of a question but the first and the last as whole words, so
+    documents are matched on the longest two of them in a row, or the one where there is one. The
+    questions are the small side: words that none of them has go before any shuffle. Questions of
+    one or two words have no such word; blocks of them are held against all texts.
     """
     words = F.split("question_text", "[ \n]")
-    keyed = items.where("question_text is not null").withColumn("key", F.when(F.size(words) >= 4, F.concat_ws(" ", words[1], words[2])))
-    own = F.filter(F.split("text", "[ \n]"), lambda w: w.isNotNull())
-    pairs = F.array_distinct(F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
-    docs = corpus.select("source_doc_id", F.explode(pairs).alias("key"))
-    found = docs.join(keyed.where("key is not null"), "key").select("question_id", "question_text", "source_doc_id").distinct()
-    sure = found.join(corpus.select("source_doc_id", "text"), "source_doc_id").where(F.contains("text", "question_text"))
-    return sure.select("question_id", "source_doc_id")
+    asked = items.where("question_text is not null").withColumn("w", words)
+    inner = F.slice(F.col("w"), 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    pair = F.zip_with(inner, F.slice(inner, 2, F.greatest(F.size(inner), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    longest = F.element_at(F.array_sort(F.transform(F.array_compact(pair), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    keyed = settled(asked.where(F.size("w") > 2).select("question_id", "question_text", F.when(F.size("w") == 3, F.element_at("w", 2)).when(F.size("w") > 3, longest).alias("key")))
+    own = F.split("text", "[ \n]")
+    pairs = F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    parts = F.array_distinct(F.concat(F.array_compact(pairs), own)) if not keyed.where(~F.contains("key", F.lit(" "))).isEmpty() else F.array_distinct(F.array_compact(pairs))
+    met = corpus.select("source_doc_id", F.explode(parts).alias("key")).join(small(keyed), "key").select("question_id", "question_text", "source_doc_id").distinct()
+    sure = met.join(corpus.select("source_doc_id", "text"), "source_doc_id").where(F.contains("text", "question_text")).select("question_id", "source_doc_id")
+    short = asked.where(F.size("w") <= 2).select("question_id", "question_text").collect()  # questions of one or two words
+    for a in range(0, len(short), 1000):
+        block = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("question_id"), F.lit(r[1]).alias("q")) for r in short[a : a + 1000]])
+        held = corpus.select("source_doc_id", F.explode(F.filter(block, lambda x: F.contains(F.col("text"), x["q"]))).alias("x"))
+        sure = sure.union(held.select("x.question_id", "source_doc_id"))
+    return sure
 
 
 @query(f"""WITH {_TOP8}, b AS (SELECT question_id, q.text AS qtext, d.text AS dtext FROM rk JOIN benchmark q ON item_id = question_id JOIN documents d ON 'doc_' || d.doc_id = source_doc_id WHERE rank = 1),
@@ -216,9 +212,14 @@ def token_set_f1(spark, d):
 SELECT question_id, rank, false AS negated, verdict, confidence FROM p UNION ALL SELECT question_id, rank, true, verdict, confidence FROM n""")
 def claim_span_verdict(spark, d):
     """Each question as a claim on its evidence, plain and negated."""
-    rows = _top8(spark, d).join(B.questions(spark, d), "question_id").join(B.corpus(spark, d).select("source_doc_id", "text"), "source_doc_id")
-    rows = rows.withColumn("negated", F.explode(F.array(F.lit(False), F.lit(True))))
-    v = A.verdict(F.when(F.col("negated"), F.concat(F.lit("not "), "question_text")).otherwise(F.col("question_text")), F.col("text"))
+    top = settled(_top8(spark, d))
+    spans = B.corpus(spark, d).join(small(top.select("source_doc_id").distinct()), "source_doc_id", "left_semi")
+    spans = spans.select("source_doc_id", A.meaning(F.col("text")).alias("span_meaning"))
+    asked = B.questions(spark, d).withColumn("negated", F.explode(F.array(F.lit(False), F.lit(True))))
+    claim = F.when(F.col("negated"), F.concat(F.lit("not "), "question_text")).otherwise(F.col("question_text"))
+    asked = asked.select("question_id", "negated", A.meaning(claim).alias("claim_meaning"))
+    rows = top.join(asked, "question_id").join(spans, "source_doc_id")
+    v = A.verdict(F.col("claim_meaning"), F.col("span_meaning"))
     return rows.select("question_id", F.col("rank").cast("long").alias("rank"), "negated", v.alias("v")).select("question_id", "rank", "negated", "v.verdict", "v.confidence")
 
 
@@ -267,16 +268,29 @@ def citation_normalize(spark, d):
     return B.read(spark, d, "conversations").select("conv_id", "turn", T.citation_id(raw).alias("citation_id"))
 
 
-@query(f"""WITH {B.LEDGER}, {B.CLAIMS}, ev AS (SELECT doc_id % 200 AS k, doc_id, pointer, 'e' || (doc_id % 200) AS evidence_id, 's' || (doc_id % 300) AS ledger_span_id FROM lp),
+_DOCS = "(SELECT count(*) FROM documents)"
+
+
+@query(f"""WITH {B.LEDGER}, {B.CLAIMS}, ev AS (SELECT doc_id, pointer, 'e' || (doc_id % ({_DOCS} // 2 + 1)) AS evidence_id, 's' || (doc_id % ({_DOCS} * 2 // 3 + 1)) AS ledger_span_id FROM lp),
 ks AS (SELECT evidence_id AS legacy, doc_id, 0 AS o, pointer FROM ev UNION ALL SELECT ledger_span_id, doc_id, 1, pointer FROM ev),
 mx AS (SELECT legacy, arg_max(pointer, doc_id * 2 + o) AS pointer FROM ks GROUP BY legacy)
-SELECT cl.run_id, cl.claim_id, coalesce(mx.pointer, x.cited) AS citation_id FROM cl, LATERAL (SELECT CASE WHEN claim_index % 2 = 0 THEN 'e' || (cl.doc_id % 250) ELSE 's' || (cl.doc_id % 350) END AS cited) x LEFT JOIN mx ON mx.legacy = x.cited""")
+SELECT cl.run_id, cl.claim_id, coalesce(mx.pointer, x.cited) AS citation_id FROM cl, LATERAL (SELECT CASE WHEN claim_index % 2 = 0 THEN 'e' || cl.doc_id ELSE 's' || cl.doc_id END AS cited) x LEFT JOIN mx ON mx.legacy = x.cited""")
 def legacy_id_resolve(spark, d):
     """Older ids are resolved; of the documents that share one, the last wins."""
+    rows = _legacy(spark, d)
+    return A.resolve_legacy(rows[0], rows[1]).select(F.col("answer_id").alias("run_id"), "claim_id", "citation_id")
+
+
+def _legacy(spark, d, held=None):
+    """Claims that cite documents by older ids, and the ids that documents have; some share one."""
     one = F.lit("all")
-    evidence = B.ledger(spark, d).select(one.alias("run_id"), F.col("doc_id").alias("position"), F.col("pointer").alias("citation_id"), F.concat(F.lit("e"), (F.col("doc_id") % 200).cast("string")).alias("evidence_id"), F.concat(F.lit("s"), (F.col("doc_id") % 300).cast("string")).alias("ledger_span_id"))
-    rows = B.citations(spark, d).select(F.col("run_id").alias("answer_id"), "claim_id", one.alias("run_id"), F.when(F.col("claim_index") % 2 == 0, F.concat(F.lit("e"), (F.col("doc_id") % 250).cast("string"))).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 350).cast("string"))).alias("cited_id"))
-    return A.resolve_legacy(rows, evidence).select(F.col("answer_id").alias("run_id"), "claim_id", "citation_id")
+    n = B.read(spark, d, "documents").count()
+    old = lambda mark, k: F.concat(F.lit(mark), (F.col("doc_id") % k).cast("string"))
+    held = B.ledger(spark, d) if held is None else held
+    evidence = held.select(one.alias("run_id"), F.col("doc_id").alias("position"), F.col("pointer").alias("citation_id"), old("e", n // 2 + 1).alias("evidence_id"), old("s", n * 2 // 3 + 1).alias("ledger_span_id"))
+    cited = F.concat(F.when(F.col("claim_index") % 2 == 0, F.lit("e")).otherwise(F.lit("s")), F.col("doc_id").cast("string"))
+    rows = B.claims_with_documents(spark, d).select(F.col("run_id").alias("answer_id"), "claim_id", "claim_index", one.alias("run_id"), cited.alias("cited_id"))
+    return rows, evidence
 
 
 @query(f"WITH {B.SEMANTIC} SELECT run_id, claim_id, semantic_status, verdict, confidence, {B.excerpt('claim_text')} AS claim_excerpt, {B.excerpt('span_text')} AS span_excerpt FROM sr")
@@ -347,20 +361,21 @@ def attribution_audit_cube(spark, d):
 
 
 @query(f"""WITH {B.CITATIONS}, {B.RUNS}, n AS (SELECT run_id, count(*) AS claim_count, count(*) FILTER (damage <> 1) AS citation_count, bool_or(span_text IS NOT NULL) AS support_hit FROM ci GROUP BY run_id),
-s AS (SELECT r.baseline, coalesce(support_hit, false) AS support_hit, refusal_label <> 'answered' AS refusal, coalesce(citation_count, 0) AS citation_count, coalesce(claim_count, 0) AS claim_count, length(text) // 4 AS p, length(text) // 8 AS c FROM r LEFT JOIN n USING (run_id)),
+s AS (SELECT r.baseline, coalesce(support_hit, false) AS support_hit, refusal_label <> 'answered' AS refusal, coalesce(citation_count, 0) AS citation_count, coalesce(claim_count, 0) AS claim_count, length(text) // 4 AS p, length(text) // 8 AS c,
+CAST(round_even((length(text) // 4) / 1e6 * 0.435 + (length(text) // 8) / 1e6 * 0.87, 6) AS DECIMAL(18,6)) AS usd FROM r LEFT JOIN n USING (run_id)),
 g AS (SELECT baseline, grouping(baseline) AS "grouping", count(*) AS record_count, count(*) FILTER (support_hit) AS support_hit_count, count(*) FILTER (refusal) AS refusal_count, CAST(sum(citation_count) AS BIGINT) AS citation_count,
-CAST(sum(claim_count) AS BIGINT) AS claim_count, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens FROM s GROUP BY ROLLUP (baseline)),
+CAST(sum(claim_count) AS BIGINT) AS claim_count, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(usd) AS DOUBLE) AS estimated_cost_usd FROM s GROUP BY ROLLUP (baseline)),
 h AS (SELECT *, {B.rate('support_hit_count', 'record_count')} AS support_hit_rate, {B.rate('refusal_count', 'record_count')} AS refusal_rate, {B.rate('citation_count', 'claim_count')} AS claim_to_citation_rate FROM g)
 SELECT *, CASE WHEN support_hit_rate < 0.8 THEN 'fix_retrieval_before_scaling' WHEN refusal_rate > 0.5 THEN 'inspect_prompt_refusal_behavior_before_scaling' ELSE 'eligible_for_larger_mini_run' END AS recommendation FROM h""")
 def review_rollup(spark, d):
     known = B.read(spark, d, "documents").select("doc_id", F.lit(True).alias("there"))
-    cited = B.citations(spark, d).join(known, "doc_id", "left").groupBy("run_id").agg(F.count("*").alias("claim_count"), F.count_if((F.col("conv_id") + F.col("claim_index")) % 7 != 1).alias("citation_count"), F.count_if(F.col("there")).alias("hits"))
+    cited = B.claims_with_documents(spark, d).join(known, "doc_id", "left").groupBy("run_id").agg(F.count("*").alias("claim_count"), F.count_if((F.col("conv_id") + F.col("claim_index")) % 7 != 1).alias("citation_count"), F.count_if(F.col("there")).alias("hits"))
     n = F.length("text")
     rows = B.runs(spark, d).join(cited, "run_id", "left").select(
         "baseline", (F.coalesce("hits", F.lit(0)) > 0).alias("support_hit"), (F.col("refusal_label") != "answered").alias("refusal"), F.coalesce("citation_count", F.lit(0)).alias("citation_count"), F.coalesce("claim_count", F.lit(0)).alias("claim_count"),
-        F.floor(n / 4).alias("prompt_tokens"), F.floor(n / 8).alias("completion_tokens"), F.lit(0.0).alias("cost"),
+        F.floor(n / 4).alias("prompt_tokens"), F.floor(n / 8).alias("completion_tokens"), T.cost_usd(F.floor(n / 4), F.floor(n / 8)).cast("decimal(18,6)").alias("cost"),
     )
-    return M.review(rows).drop("estimated_cost_usd")
+    return M.review(rows).withColumn("estimated_cost_usd", F.col("estimated_cost_usd").cast("double"))
 
 
 @query("""WITH c AS (SELECT event_type, count(*) AS calls, CAST(sum(event_id % 900) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 170) AS BIGINT) AS completion_tokens FROM events GROUP BY event_type)
@@ -377,7 +392,7 @@ def cost_summary(spark, d):
 SELECT concat_ws('__', dataset_id, run_id, baseline, claim_id, CAST(n AS VARCHAR)) AS annotation_id, claim_text, sha256(coalesce(span_text, '')) AS span_hash, verdict FROM o WHERE structural_validity = 'valid'""")
 def annotation_export(spark, d):
     rows = J.annotation_rows(B.semantic(spark, d).withColumn("citation_ordinal", F.col("claim_index")))
-    return rows.select("annotation_id", "claim_text", T.sha256(F.coalesce("span_text", F.lit(""))).alias("span_hash"), "verdict")
+    return rows.select("annotation_id", "claim_text", F.coalesce("span_sha256", T.sha256(F.lit(""))).alias("span_hash"), "verdict")
 
 
 def _labels(spark, d):
@@ -415,19 +430,29 @@ def stratified_audit_subset(spark, d):
     return J.audit_subset(_labels(spark, d).withColumn("judge_label", F.col("new")), "doc_id").select("doc_id", "judge_label")
 
 
-def _length_judge(row: dict) -> dict:
-    """A stand-in for a remote judge: fails on long claims, labels the others by their length."""
-    if len(row["claim_text"]) > 150:
-        raise TimeoutError("too long")
-    return {"label": J.LABELS[len(row["claim_text"]) % 5], "confidence": 2.0}
+class LengthJudge:
+    """A stand-in for a remote judge: fails on long claims and at first on claims of even length."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
+
+    def __call__(self, row: dict) -> dict:
+        claim = row["claim_text"]
+        if len(claim) > 150:
+            raise TimeoutError("too long")
+        if len(claim) % 2 == 0 and claim not in self.asked:
+            self.asked.add(claim)
+            raise ConnectionError("try again")
+        return {"label": J.LABELS[len(claim) % 5], "confidence": 2.0}
 
 
 @query(f"""WITH {B.VALIDATED} SELECT run_id, claim_id, CASE WHEN trim(coalesce(span_text, '')) = '' THEN 'skipped' WHEN length(claim_text) > 150 THEN 'error' ELSE 'labeled' END AS judge_status,
 CASE WHEN trim(coalesce(span_text, '')) = '' OR length(claim_text) > 150 THEN '' ELSE ([{', '.join(repr(x) for x in J.LABELS)}])[length(claim_text) % 5 + 1] END AS judge_label,
 CASE WHEN trim(coalesce(span_text, '')) = '' OR length(claim_text) > 150 THEN 0.0 ELSE 1.0 END AS judge_confidence FROM v WHERE structural_validity = 'valid'""")
 def judge_apply(spark, d):
-    items = B.semantic(spark, d).where("structural_validity = 'valid'").select("run_id", "claim_id", "claim_text", F.col("span_text").alias("cited_span_text"))
-    return J.apply_judge(items, _length_judge, attempts=1).select("run_id", "claim_id", "judge_status", "judge_label", "judge_confidence")
+    """Labels of valid citations by a judge that needs a second try at times."""
+    items = B.semantic(spark, d).where("structural_validity = 'valid'").select("run_id", "claim_id", "claim_text", F.when(F.col("span_filled"), F.col("span_excerpt")).alias("cited_span_text"))
+    return J.apply_judge(items, LengthJudge(), attempts=2).select("run_id", "claim_id", "judge_status", "judge_label", "judge_confidence")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS ordinal FROM conversations")
@@ -441,12 +466,11 @@ def export_ordinal(spark, d):
 @query(f"""WITH p AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'), o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ci, role, {B.sents("coalesce(text, '')")} AS s FROM p)
 SELECT 'q' || conv_id AS question_id, ci AS context_index, 'q' || conv_id || '_doc_' || ci || '_' || role AS source_doc_id, sha256(array_to_string(s, ' ')) AS source_hash FROM o""")
 def process_contexts(spark, d):
-    """Conversations as records whose context entries are their turns (a conversation is short)."""
-    turns = B.read(spark, d, "conversations").where("role <> 'system'")
-    entry = F.struct("turn", F.col("role").alias("title"), T.sentences(F.coalesce("text", F.lit(""))).alias("sentences"))
-    records = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    records = records.select(F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("corpus://conversations").alias("source_uri"), F.transform("e", lambda x: F.struct(x["title"], x["sentences"])).alias("context"))
-    return E.process_contexts(records).select("question_id", F.col("context_index").cast("long").alias("context_index"), "source_doc_id", "source_hash")
+    """Turns of conversations as context entries, numbered in each conversation by partitions."""
+    turns = B.read(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", F.col("role").alias("title"), T.sentences(F.coalesce("text", F.lit(""))).alias("sentences"))
+    entries = J.with_group_ordinal(turns, ["conv_id"], ["turn"], "_n")
+    entries = entries.select(F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("corpus://conversations").alias("source_uri"), (F.col("_n") - 1).alias("context_index"), "title", "sentences")
+    return E.context_rows(entries).select("question_id", F.col("context_index").cast("long").alias("context_index"), "source_doc_id", "source_hash")
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, lower({B.norm('role')}) AS title FROM conversations), l AS (SELECT conv_id, title, arg_max('t' || turn, turn) AS source_doc_id FROM c GROUP BY ALL),
@@ -469,9 +493,10 @@ def html_links(spark, d):
 
 
 def _registry(spark, d):
-    """A snapshot record for each source; some fields are unset where the source is small or odd."""
+    """A snapshot record for each source; which fields are unset follows from its size and number."""
     docs = B.read(spark, d, "documents")
     rows = docs.groupBy(F.col("source").alias("dataset_id")).agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+    rows = rows.withColumn("n", F.col("n") + F.substring("dataset_id", 4, 9).cast("long"))
     n = F.col("n")
     return rows.select(
         "dataset_id", "n", F.lit("public").alias("license_note"), F.concat("dataset_id", F.lit("_v1")).alias("source_snapshot_id"), F.when(n % 4 == 0, F.concat(F.lit("a/../"), "dataset_id")).otherwise(F.concat(F.lit("data/"), "dataset_id")).alias("dataset_path"),
@@ -480,7 +505,7 @@ def _registry(spark, d):
     )
 
 
-_REG = "g AS (SELECT source AS dataset_id, count(*) AS n FROM documents GROUP BY source)"
+_REG = "g AS (SELECT source AS dataset_id, count(*) + CAST(substr(source, 4) AS BIGINT) AS n FROM documents GROUP BY source)"
 
 
 @query(f"""WITH {_REG} SELECT dataset_id, 'dataset_path' AS field, 'path has unsafe parts' AS message FROM g WHERE n % 4 = 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
 from citeforge.operators import attribution as A
+from citeforge.operators.judging import settled
+from citeforge.operators.sizing import small
 
 BASELINES = ["vanilla", "hybrid", "citation_only", "validator_only", "ledger_only", "ledger_validator"]
 
@@ -38,13 +40,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     name = F.col("doc_id").cast("string")
-    rows = docs.select("doc_id", F.col("source").alias("dataset_id"), F.concat(F.lit("doc_"), name).alias("source_id"), F.substring(T.sha256(F.coalesce("lang", F.lit(""))), 1, 16).alias("snapshot_hash"), F.concat(F.lit("span_"), name).alias("span_id"), T.span_hash(F.coalesce("text", F.lit(""))).alias("span_hash"), "text")
+    rows = docs.select("doc_id", F.col("source").alias("dataset_id"), F.concat(F.lit("doc_"), name).alias("source_id"), F.substring(T.sha256(F.coalesce("lang", F.lit(""))), 1, 16).alias("snapshot_hash"), F.concat(F.lit("span_"), name).alias("span_id"), T.span_hash(F.coalesce("text", F.lit(""))).alias("span_hash"))
     return rows.withColumn("pointer", A.pointer(*[F.col(p) for p in A.PARTS]))
 
 
-def retrieved(spark: SparkSession, d: str) -> DataFrame:
-    """Four of five documents count as retrieved."""
-    return ledger(spark, d).where(F.col("doc_id") % 5 != 4).select(F.col("pointer").alias("citation_id"))
+def retrieved(held: DataFrame) -> DataFrame:
+    """Four of five documents of a ledger count as retrieved."""
+    return held.where(F.col("doc_id") % 5 != 4).select(F.col("pointer").alias("citation_id"))
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -58,10 +60,17 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return rows.drop("text").withColumn("claim_id", F.concat(F.lit("c"), (F.col("claim_index") + 1).cast("string")))
 
 
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    rows = claims(spark, d).withColumn("doc_id", (F.col("conv_id") * 31 + F.col("claim_index") * 17 + F.col("turn")) % 1000)
-    known = ledger(spark, d).select("doc_id", *[F.col(p).alias(f"p_{p}") for p in A.PARTS])
-    rows = rows.join(known, "doc_id", "left").withColumn("damage", (F.col("conv_id") + F.col("claim_index")) % 7)
+def claims_with_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each claim with the document that it cites; over all ids from 0 to the number of documents."""
+    n = read(spark, d, "documents").count()
+    cited = (F.col("conv_id") * 7919 + F.col("claim_index") * 104729 + F.col("turn") * 31) % max(n, 1)
+    return claims(spark, d).withColumn("doc_id", cited)
+
+
+def citations(spark: SparkSession, d: str, held: DataFrame | None = None) -> DataFrame:
+    """Claims with their citation; ``held`` is the ledger where the caller has it written already."""
+    known = (held if held is not None else ledger(spark, d)).select("doc_id", *[F.col(p).alias(f"p_{p}") for p in A.PARTS])
+    rows = claims_with_documents(spark, d).join(known, "doc_id", "left").withColumn("damage", (F.col("conv_id") + F.col("claim_index")) % 7)
     hurt = lambda k, p: F.when(F.col("damage") == k, F.concat(F.col(p), F.lit("x"))).otherwise(F.col(p))
     whole = A.pointer(F.coalesce("p_dataset_id", F.lit("nowhere")), F.coalesce(hurt(2, "p_source_id"), F.lit("none")), F.coalesce(hurt(4, "p_snapshot_hash"), F.lit("none")), F.coalesce(hurt(3, "p_span_id"), F.lit("none")), F.coalesce(hurt(5, "p_span_hash"), F.lit("none")))
     cited = F.when(F.col("damage") == 1, F.concat_ws("/", F.coalesce("p_dataset_id", F.lit("nowhere")), F.lit("broken"))).otherwise(whole)
@@ -69,12 +78,21 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validated(spark: SparkSession, d: str) -> DataFrame:
-    return A.validate(citations(spark, d), ledger(spark, d), retrieved(spark, d))
+    """All citations validated; the ledger's keys, without texts, are written once."""
+    held = settled(ledger(spark, d))
+    return A.validate(citations(spark, d, held), held, retrieved(held))
 
 
-def semantic(spark: SparkSession, d: str) -> DataFrame:
+def with_spans(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Rows with the facts of the document in doc_id; only documents that a row names are tokenised."""
+    rows = settled(rows)
     spans = read(spark, d, "documents").select("doc_id", F.col("text").alias("span_text"))
-    return A.semantic_records(validated(spark, d).join(spans, "doc_id", "left"))
+    named = small(rows.select("doc_id").distinct())
+    return rows.join(A.span_facts(spans.join(named, "doc_id", "left_semi"), "doc_id"), "doc_id", "left")
+
+
+def semantic(spark: SparkSession, d: str) -> DataFrame:
+    return A.semantic_records(with_spans(spark, d, validated(spark, d)))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +148,7 @@ ANSWERS = f"""a AS (SELECT conv_id, turn, conv_id || ':' || turn AS run_id, 'set
 CLAIMS = f"""{ANSWERS},
 cs AS (SELECT * EXCLUDE (text), {sents("coalesce(text, '')")} AS s FROM a),
 c AS (SELECT * EXCLUDE (s), unnest(s) AS claim_text, unnest(range(len(s))) AS claim_index FROM cs),
-cl AS (SELECT *, 'c' || (claim_index + 1) AS claim_id, (conv_id * 31 + claim_index * 17 + turn) % 1000 AS doc_id, (conv_id + claim_index) % 7 AS damage FROM c)"""
+cl AS (SELECT *, 'c' || (claim_index + 1) AS claim_id, (conv_id * 7919 + claim_index * 104729 + turn * 31) % (SELECT greatest(count(*), 1) FROM documents) AS doc_id, (conv_id + claim_index) % 7 AS damage FROM c)"""
 
 CITATIONS = f"""{LEDGER}, {CLAIMS},
 ci AS (SELECT cl.*, l.text AS span_text, CASE WHEN damage = 1 THEN coalesce(l.dataset_id, 'nowhere') || '/broken' ELSE concat_ws('/',
@@ -140,8 +158,9 @@ ci AS (SELECT cl.*, l.text AS span_text, CASE WHEN damage = 1 THEN coalesce(l.da
   coalesce(CASE WHEN damage = 5 THEN l.span_hash || 'x' ELSE l.span_hash END, 'none')) END AS citation_id
   FROM cl LEFT JOIN l ON l.doc_id = cl.doc_id)"""
 
-VALIDATED = f"""{CITATIONS},
-pp AS (SELECT *, string_split(citation_id, '/') AS p FROM ci),
+def checked(source: str) -> str:
+    """CTEs that validate the citation_id of ``source`` against the ledger; the last one is v."""
+    return f"""pp AS (SELECT *, string_split(citation_id, '/') AS p FROM {source}),
 v0 AS (SELECT pp.*, len(p) = 5 AND NOT list_contains(p, '') AS formed,
   EXISTS (SELECT 1 FROM l WHERE l.dataset_id = p[1] AND l.source_id = p[2]) AS has_source,
   EXISTS (SELECT 1 FROM l WHERE l.dataset_id = p[1] AND l.source_id = p[2] AND l.span_id = p[4]) AS has_span,
@@ -158,6 +177,9 @@ v AS (SELECT *, formed AND has_source AS source_exists, CASE WHEN validator_stat
   validator_status = 'valid_citation' AS in_retrieved_evidence FROM v1)"""
 
 
+VALIDATED = f"{CITATIONS}, {checked('ci')}"
+
+
 def verdict(source: str, claim: str, span: str, name: str) -> str:
     """CTEs that add verdict and confidence of two text columns to ``source``."""
     neg = ", ".join(repr(w) for w in T.NEGATIONS)

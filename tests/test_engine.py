@@ -80,7 +80,7 @@ def test_validator_is_scoped(spark):
     ],
 )
 def test_verdicts(spark, claim, span, want):
-    row = spark.createDataFrame([(claim, span)], "c string, s string").select(A.verdict(F.col("c"), F.col("s")).alias("v")).first().v
+    row = spark.createDataFrame([(claim, span)], "c string, s string").select(A.meaning(F.col("c")).alias("c"), A.meaning(F.col("s")).alias("s")).select(A.verdict(F.col("c"), F.col("s")).alias("v")).first().v
     assert (row.verdict, row.confidence) == want
 
 
@@ -107,13 +107,69 @@ def test_rankings(spark):
 def test_digest_depends_on_order_and_content(spark):
     def digest(texts):
         rows = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset_id string, at long, t string")
-        return E.digest_tree(rows, "at", F.col("t"), "dataset_id", width=3, levels=3).first().corpus_hash
+        return E.digest_tree(rows, "at", F.col("t"), "dataset_id", width=3).first().corpus_hash
 
     base = digest([str(i) for i in range(20)])
     assert base == digest([str(i) for i in range(20)])
     assert base != digest([str(i) for i in reversed(range(20))]) and base != digest([str(i) for i in range(19)] + ["x"])
 
 
+def test_digest_has_one_node_at_any_size(spark):
+    import hashlib
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for n in (1, 26, 27, 28, 81, 82, 100):
+        rows = spark.createDataFrame([("d", i) for i in range(n)], "dataset_id string, at long")
+        out = E.digest_tree(rows, "at", F.col("at").cast("string"), "dataset_id", width=3).collect()
+        level, rounds = [h(str(i)) for i in range(n)], 0
+        while len(level) > 1 or rounds < 3:
+            level = [h("\n".join(level[k : k + 3])) for k in range(0, len(level), 3)]
+            rounds += 1
+        assert [r.corpus_hash for r in out] == level
+
+
+def test_support_of_short_questions(spark):
+    from citeforge.plans.catalogue import _support
+
+    items = spark.createDataFrame([(1, "two words"), (2, "one"), (3, "three plain words"), (4, "four words in all"), (5, "of the of the x"), (6, None), (7, "absent")], "question_id long, question_text string")
+    texts = ["here two words are", "no such thing", "gone and done", "three plain words", "xthree plain wordsy", "all four words in all here", "of the of the x", None, ""]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "source_doc_id string, text string")
+    got = {tuple(r) for r in _support(items, docs).collect()}
+    assert got == {(r.question_id, d.source_doc_id) for r in items.collect() for d in docs.collect() if r.question_text and d.text and r.question_text in d.text}
+
+
+def test_questions_without_a_context_are_ranked_among_all(spark):
+    q = spark.createDataFrame([(1, "red"), (2, "blue red")], "question_id long, question_text string")
+    docs = spark.createDataFrame([("a", "blue"), ("b", "red red"), ("c", "green")], "source_doc_id string, text string")
+    context = spark.createDataFrame([(1, "a"), (1, "c")], "question_id long, source_doc_id string")
+    got = {(r.question_id, r.rank, r.source_doc_id) for r in E.rank_scoped(q, docs, context, 2).collect()}
+    assert got == {(1, 1, "a"), (1, 2, "c"), (2, 1, "b"), (2, 2, "a")}
+
+
+def test_ranking_drops_tokens_before_its_first_shuffle(spark):
+    docs = spark.createDataFrame([("a", "blue sky"), ("b", "red")], "source_doc_id string, text string")
+    q = spark.createDataFrame([(1, "red")], "question_id long, question_text string")
+    plan = E.rank_evidence(q, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.index("RepartitionByExpression")  # deeper, so earlier
+
+
+def test_texts_are_tokenised_once(spark):
+    rows = spark.createDataFrame([("c", "valid", "a b", "s")], "claim_id string, structural_validity string, claim_text string, span_text string")
+    facts = A.span_facts(rows.select("claim_id", "span_text"), "claim_id")
+    out = A.semantic_records(rows.drop("span_text").join(facts, "claim_id"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("[a-z0-9]+") == 2
+    assert out.first().verdict == "unsupported"
+
+
+def test_replaceable_evaluator(spark):
+    rows = spark.createDataFrame([("c", "valid", "a b", "s"), ("d", "invalid", "x", "s")], "claim_id string, structural_validity string, claim_text string, span_text string")
+    facts = A.span_facts(rows.select("claim_id", "span_text"), "claim_id")
+    always = lambda c, s: F.struct(F.lit("entailed").alias("verdict"), F.lit(0.5).alias("confidence"))
+    out = A.semantic_records(rows.drop("span_text").join(facts, "claim_id"), always).collect()
+    assert {(r.claim_id, r.verdict, r.semantic_status) for r in out} == {("c", "entailed", "evaluated"), ("d", None, "skipped")}
+
+
 def test_support_references_take_the_last_context(spark):
     corpus = spark.createDataFrame([("q", 0, "River Museum", "d0"), ("q", 1, "River  Museum", "d1")], "question_id string, context_index int, title string, source_doc_id string")
     facts = spark.createDataFrame([("q", "River Museum", 0), ("q", "Lost", 2)], "question_id string, title string, sentence_index int")

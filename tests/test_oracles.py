@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from citeforge.plans import catalogue
+from citeforge.plans import catalogue, records, registry  # noqa: F401 (the first two register)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -21,12 +21,12 @@ def key(row):
     return tuple((x is not None, str(type(x)), 0 if x is None else x) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_oracle(name, spark, con):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(cols).collect()), key=key)
-    found = con.execute(catalogue.ORACLES[name])
+    found = con.execute(registry.ORACLES[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == cols
     assert got == sorted((tuple(r[names.index(c)] for c in cols) for r in found.fetchall()), key=key)

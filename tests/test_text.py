@@ -63,3 +63,30 @@ def test_credentials(spark):
 
 def test_safe_components(spark):
     assert values(spark, T.is_safe_component, ["ok-1", "..", "a/b", "c:", "", None]) == [True, False, False, False, False, False]
+
+
+def test_trimming_long_blank_runs_takes_linear_time(spark):
+    import time
+
+    text = "x" + " \t" * 400_000 + "y" + "\u2003 \n" * 100_000
+    began = time.time()
+    row = spark.createDataFrame([(text,)], "t string").select(F.length(T.strip(F.col("t"))), T.span_hash(F.col("t"))).first()
+    assert row[0] == 800_002 and time.time() - began < 10
+
+
+def test_confirmation_url(spark):
+    pages = [
+        '<a href="/get?id=1&amp;confirm=abc">go</a>',
+        '<form id="download-form"><input type="hidden" name="id" value="a b"><input name="confirm" value="t&amp;"></form>',
+        '<form><input name="id" value="x"></form>',
+        None,
+    ]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r.i: r.u for r in rows.select("i", T.confirmation_url(F.col("html"), F.lit("https://host.example/get")).alias("u")).collect()}
+    assert got == {0: "/get?id=1&confirm=abc", 1: "https://host.example/get?id=a+b&confirm=t%26", 2: None, 3: None}
+
+
+def test_unset_variants(spark):
+    rows = spark.createDataFrame([("Unset ", []), ("unset", ["x"]), ("", None), (None, [])], "s string, l array<string>")
+    got = [tuple(r) for r in rows.select(T.is_unset(F.col("s")), T.is_unset(F.col("s"), strict=True), T.is_empty(F.col("l"))).collect()]
+    assert got == [(True, False, True), (True, True, False), (True, True, True), (True, True, True)]
