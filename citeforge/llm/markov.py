@@ -158,8 +158,16 @@ def best_parts(steps: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda z: F.when(z["peak"] >= 0, closed(z)).otherwise(z["out"]))
 
 
+#: Matches of a text that are numbered at once; appending to an array copies it.
+MATCHES = 256
+
+
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Leftmost matches as (start, kind, end, value) in code points, from the pieces between them."""
+    """Leftmost matches as (start, kind, end, value) in code points, from the pieces between them.
+
+    Places are summed in blocks of ``MATCHES``, then over the blocks, so that a very long text with
+    very many matches takes time in proportion to them, but for one copy a block.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
     parts = [F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("p"), found]
     parts.append((F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found).alias("g"))
@@ -171,8 +179,19 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), x["g"].alias("value"))
         return F.struct(end.cast("long").alias("pos"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    zipped = F.arrays_zip(*parts)
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(F.expr(_NONE))
+    def shifted(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+
+    def join(a: Column, block: Column) -> Column:
+        more = F.transform(block["out"], lambda s: shifted(s, a["pos"]))
+        return F.struct((a["pos"] + block["pos"]).alias("pos"), F.concat(a["out"], more).alias("out"))
+
+    def in_blocks(zipped: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(zipped), F.lit(1)), F.lit(MATCHES))
+        blocks = F.transform(starts, lambda i: F.aggregate(F.slice(zipped, i, F.lit(MATCHES)), zero, step))
+        return F.aggregate(blocks, zero, join, lambda a: a["out"])
+
+    return F.when(text.rlike(pattern), _let(F.arrays_zip(*parts), in_blocks)).otherwise(F.expr(_NONE))
 
 
 def base_spans(text: Column) -> Column:

@@ -43,6 +43,18 @@ def test_base_spans_equal_brute_force(table, request, spark):
         assert sum(len(r.all_spans) - len(r.base_spans) for r in got) == 0
 
 
+def test_very_many_matches(spark):
+    """A text of 30,000 matches; numbering them one by one would copy 450 million spans."""
+    import time
+
+    text = " é ".join(f"{i:024x}" for i in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, "token=abcdef " * 700)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.base] for r in df.select("doc_id", markov.base_spans(F.col("text")).alias("base")).collect()}
+    assert time.time() - began < 60
+    assert got[1] == brute(text) and got[2] == brute("token=abcdef " * 700)
+
+
 def test_random_strings_are_added(spark, docs):
     ratios = markov.train(markov.labelled_samples(docs))
     secrets = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()[:24]).decode().rstrip("=") for i in range(50)]
