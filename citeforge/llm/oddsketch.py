@@ -8,12 +8,12 @@ so pairs far below the threshold are dropped before any set is read. The remaini
 confirmed on their full sets, and links are joined to components.
 
 No step forms all pairs of a group as rows. First each bucket's members are held against its
-smallest one: as many pairs as members, filtered by sketches, then confirmed on full sets, with the
+smallest one: two pairs a member at most, filtered by sketches, then confirmed on full sets, with the
 smallest ones' sets copied for every ``HUB`` pairs. What these links join is one component. Buckets
 of one component are done, however large. In the others only pairs across components can still join
 anything: members outside a bucket's largest component are held against all of it by their
-sketches, in the tasks, and only each one's nearest partner and a forest leave them; these are
-confirmed likewise. Where nothing more is found so, all members that still have a promising partner
+sketches, in the tasks, and only each one's nearest partner and a forest leave them; the nearest
+partners are confirmed likewise. Where nothing more is found so, all members that still have a promising partner
 in another component are compared by their full sets, the outside ones against all, in blocks, so
 that no link between different components is left out.
 """
@@ -39,11 +39,11 @@ SAMPLES = BANDS * ROWS
 LONGS = 8  # 512 bits of odd sketch
 #: Pairs whose estimate is lower are dropped; at a true similarity of 0.75 this is 5 deviations off.
 LEAST_ESTIMATE = 0.5
-BUCKET_BLOCK = 1024  # members of a bucket that are compared by sketches in one task
+BUCKET_BLOCK = 512  # members of a bucket that are compared by sketches in one task
 BRANCHES = 16  # that a member of a forest gets before others have theirs
 BLOCK = 256  # classes of a cluster that are compared by full sets in one task
 HUB = 128  # pairs with one and the same set that are confirmed in one task
-ROUNDS = 2  # of confirming nearest partners before the last comparison
+FRUITFUL = 10  # nearest partners are confirmed once more while one in so many of them is linked
 
 _SEEDS = np.random.default_rng(20240229)
 _MUL = _SEEDS.integers(1 << 31, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -193,39 +193,64 @@ def _across(table: pa.Table) -> np.ndarray:
     return apart & (block[:, None] != block[None, :]) if i != j else apart
 
 
-PAIRS = "a long, b long"
-
-
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
+PAIRS = "a long, b long, ones int"
+
+
+def _pairs_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    a, b = ([pick(p[:2]) for p in pairs] for pick in (min, max))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "ones"])
+
+
+class Roots:
+    """Union-find by numbers."""
+
+    def __init__(self):
+        self.top: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (up := self.top.get(x, x)) != x:
+            self.top[x] = up = self.top.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.of(x), self.of(y)
+        self.top[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _forest(near: np.ndarray, ones: np.ndarray) -> set[tuple[int, int]]:
+    """Each row's nearest pair, and as many more as connect all that promising pairs connect."""
+    left, roots, out = near.any(1), Roots(), set()
+    for u in np.flatnonzero(left).tolist():
+        v = int(np.where(near[u], ones[u], 64 * LONGS).argmin())
+        roots.join(u, v)
+        out.add((min(u, v), max(u, v)))
+    while left.any():
+        start = int(np.flatnonzero(left)[0])
+        left[start] = False
+        queue = deque([start])
+        while queue:  # few branches at a time, so that no member becomes the hub of a large group
+            u = queue.pop()
+            fresh = np.flatnonzero(near[u] & left)
+            if len(fresh) > BRANCHES:
+                queue.appendleft(u)
+                fresh = fresh[:BRANCHES]
+            left[fresh] = False
+            queue.extend(fresh.tolist())
+            out |= {(min(u, v), max(u, v)) for v in fresh.tolist() if roots.join(u, v)}
+    return out
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each bucket's promising pairs across components: each member's nearest one, and a forest."""
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     for table in groups(batches, ["bucket", "i", "j"]):
         node, odd = table["node"].to_numpy(), _odd(table)
         ones = _ones(odd, odd)
         near = (ones <= MOST_ONES) & _across(table)
-        if not near.any():
-            continue
-        left = near.any(1)
-        for u in np.flatnonzero(left):
-            v = int(np.where(near[u], ones[u], 64 * LONGS).argmin())
-            out.append((int(node[u]), int(node[v])))
-        while left.any():
-            start = int(np.flatnonzero(left)[0])
-            left[start] = False
-            queue = deque([start])
-            while queue:  # few branches at a time, so that no member becomes the hub of a large group
-                u = queue.pop()
-                fresh = np.flatnonzero(near[u] & left)
-                if len(fresh) > BRANCHES:
-                    queue.appendleft(u)
-                    fresh = fresh[:BRANCHES]
-                left[fresh] = False
-                queue.extend(fresh.tolist())
-                out += [(int(node[u]), int(node[v])) for v in fresh]
+        out += [(int(node[u]), int(node[v]), int(ones[u, v])) for u, v in sorted(_forest(near, ones))]
         if len(out) > 20_000:
             yield _pairs_batch(out)
             out = []
@@ -234,7 +259,7 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each group that join different components, by full sets, the nearest pairs first."""
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     for table in groups(batches, ["cluster", "i", "j"]):
         node, odd, part = table["node"].to_numpy(), _odd(table), table["component"].to_numpy()
         ones = _ones(odd, odd)
@@ -243,25 +268,17 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ones[a, b], kind="stable")
         members = table["members"].combine_chunks()
         at, values = members.offsets.to_numpy(), members.values.to_numpy().view(np.uint64)
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := top.get(x, x)) != x:
-                top[x] = up = top.get(up, up)
-                x = up
-            return x
-
+        roots = Roots()
         for u, v in zip(a[order].tolist(), b[order].tolist(), strict=True):
-            x, y = root(int(part[u])), root(int(part[v]))
-            if x == y:
+            if roots.of(int(part[u])) == roots.of(int(part[v])):
                 continue
             s, t = values[at[u] : at[u + 1]], values[at[v] : at[v + 1]]
             if 100 * min(len(s), len(t)) < SIMILAR * max(len(s), len(t)):
                 continue
             both = len(np.intersect1d(s, t, assume_unique=True))
             if 100 * both >= SIMILAR * (len(s) + len(t) - both):
-                top[max(x, y)] = min(x, y)
-                out.append((int(node[u]), int(node[v])))
+                roots.join(int(part[u]), int(part[v]))
+                out.append((int(node[u]), int(node[v]), int(ones[u, v])))
         if len(out) > 20_000:
             yield _pairs_batch(out)
             out = []
@@ -303,7 +320,7 @@ def _dealt(rows: DataFrame, key: str, block: int, kept: list[str]) -> DataFrame:
 
 def _compared(rows: DataFrame, key: str, compare) -> DataFrame:
     groups_ = rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node")
-    return groups_.mapInArrow(compare, PAIRS).distinct()
+    return groups_.mapInArrow(compare, PAIRS).groupBy("a", "b").agg(F.min("ones").alias("ones"))
 
 
 def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -333,9 +350,13 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return shared.materialize(sets.groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members")).drop("set_a", "set_b"), "sets")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, salt) that reach the threshold on their full sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = _ends(pairs)
     met = _beside(pairs, _sets_of(nodes, classes, docs), ["members"])
     both = F.size(F.array_intersect("a_members", "b_members"))
     either = F.size("a_members") + F.size("b_members") - both
@@ -360,12 +381,19 @@ def _promised(members: DataFrame, components: DataFrame | None, classes: DataFra
     return shared.materialize(_compared(_dealt(rows, "bucket", BUCKET_BLOCK, ODD), "bucket", _promising), "promising")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Each node's most promising pair: at most as many pairs as nodes, no node with many of them."""
+    by = lambda c: pairs.groupBy(F.col(c).alias("node")).agg(F.min(F.struct("ones", "a", "b")).alias("pair"))
+    best = by("a").union(by("b")).groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    return best.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(HUB)))
+
+
 def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Components of the links and of what was joined before; None where there is neither."""
     if links.isEmpty():
         return components
     before = [components.select(F.col("node").alias("a"), F.col("component").alias("b"))] if components is not None else []
-    return connected_components(links.union(before[0]) if before else links)
+    return connected_components(links.select("a", "b").union(before[0]) if before else links)
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -373,20 +401,22 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keys = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     members = shared.materialize(keys.join(buckets, "bucket"), "members")
-    stars = members.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.max("n").alias("n"))
+    # Of the smallest members of its buckets, a node is held against the smallest one and against
+    # that of its largest bucket.
+    first, large = F.min("least").alias("first"), F.max_by("least", F.struct("n", -F.col("least"))).alias("large")
+    stars = members.groupBy("node").agg(first, large, F.max("n").alias("n"))
+    stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "large"))).alias("b"), "n").where("a <> b")
     stars = stars.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HUB)).alias("salt"))
     near = shared.materialize(_near_by_sketch(stars, classes), "stars")
     members = members.select("node", "bucket", "n")
     components = _joined(None, _confirmed(near, classes, docs))
-    for _ in range(ROUNDS):
+    while True:
         pairs = _promised(members, components, classes)
-        # No node has more than a few of these pairs, so they need no salts.
-        links = _confirmed(pairs.withColumn("salt", F.lit(0).cast("long")), classes, docs)
-        if links.isEmpty():
-            break
+        nearest = shared.materialize(_nearest(pairs), "nearest")
+        links = _confirmed(nearest, classes, docs)
         components = _joined(components, links)
-    else:
-        pairs = _promised(members, components, classes)
+        if FRUITFUL * links.count() <= nearest.count():
+            break
     if not pairs.isEmpty():
         components = _joined(components, _last_links(pairs, components, classes, docs))
     if components is None:
@@ -397,9 +427,10 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _last_links(pairs: DataFrame, components: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join different components, by full sets of all nodes with a promising partner.
 
-    Promising pairs put components into clusters outside which no link can lie.
+    Promising pairs put components into clusters outside which no link can lie. The pairs may be of
+    an earlier round, before some components became one.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = _ends(pairs)
     part = nodes.withColumn("component", F.col("node"))
     if components is not None:
         part = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
