@@ -12,7 +12,8 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
+
+from citeforge.operators import sizing
 
 
 #: Folders of local sessions that name none, by application.
@@ -45,30 +46,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Written tables are broadcast up to this many bytes, as measured, else joined over a shuffle.
-BROADCAST_BYTES = 32 << 20
-
-
-def _width(c, kind: t.DataType):
-    """Bytes of a value: 16 for a number, a string's own, an array's elements."""
-    if isinstance(kind, t.StringType):
-        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
-    if isinstance(kind, t.StructType):
-        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
-    if isinstance(kind, t.ArrayType):
-        if isinstance(kind.elementType, (t.StringType, t.StructType, t.ArrayType)):
-            return F.aggregate(F.coalesce(F.transform(c, lambda x: _width(x, kind.elementType)), F.array().cast("array<bigint>")), F.lit(16).cast("long"), lambda a, x: a + x)
-        return F.greatest(F.size(c), F.lit(0)).cast("long") * 8 + 16
-    return F.lit(16).cast("long")
+BROADCAST_BYTES = sizing.BROADCAST_BYTES
 
 
-def is_small(df: DataFrame, most: int | None = None) -> bool:
+def is_small(df: DataFrame) -> bool:
     """Whether a written table's measured size is within the bound for a broadcast.
 
     The table is read once to measure it, so it should be one that ``materialize`` gave, or a few
     columns of one.
     """
-    bytes_ = df.select(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return bytes_ <= (BROADCAST_BYTES if most is None else most)
+    return sizing.is_small(df, BROADCAST_BYTES)
 
 
 def small(df: DataFrame) -> DataFrame:
