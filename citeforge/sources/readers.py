@@ -59,21 +59,24 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def member_name(names: list[str], split: str, suffix: str = ".json") -> str:
-    """The member of an archive that holds a split: ``data_ids`` first, the top next, else the only one."""
+def member_name(names: list[str], split: str, suffix: str = ".json", first: bool = False) -> str:
+    """The member of an archive that holds a split: ``data_ids`` first, the top next, else the only
+    one, or the ``first`` of several where that is asked for."""
     for name in (f"data_ids/{split}{suffix}", f"{split}{suffix}"):
         if name in names:
             return name
     found = [n for n in names if posixpath.basename(n) == f"{split}{suffix}" or n.endswith(f"_{split}{suffix}")]
+    if first and found:
+        return found[0]
     if len(found) != 1:
         raise ValueError(f"{len(found)} members for split {split}")
     return found[0]
 
 
-def extract_member(archive: str, split: str, folder: str, suffix: str = ".json") -> str:
+def extract_member(archive: str, split: str, folder: str, suffix: str = ".json", first: bool = False) -> str:
     """Extract a split's member next to the other inputs and return its path for a reader."""
     with zipfile.ZipFile(archive) as z:
-        name = member_name(z.namelist(), split, suffix)
+        name = member_name(z.namelist(), split, suffix, first)
         target = os.path.join(folder, posixpath.basename(name))
         with z.open(name) as source, open(target, "wb") as out:
             while chunk := source.read(1 << 20):
@@ -94,6 +97,14 @@ def qa_records(records: DataFrame) -> DataFrame:
     )
 
 
+def only_record(records: DataFrame, key: str, value: str) -> DataFrame:
+    """The record of a registry that has a key; it is an error if there is none."""
+    found = records.where(F.col(key) == value).limit(1)
+    if found.isEmpty():
+        raise ValueError(f"no record with {key} {value}")
+    return found
+
+
 def settings(path: str | None, names: list[str]) -> dict[str, str]:
     """KEY=VALUE lines; comments are skipped, quotes dropped, and the environment wins."""
     found: dict[str, str] = {}

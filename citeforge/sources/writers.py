@@ -36,6 +36,41 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*chosen).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def write_json_rows(df: DataFrame, path: str) -> None:
+    """JSON lines with the fields in the table's order; nulls are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def discovered_columns(rows: DataFrame, order: str, cells: str = "cells") -> list[str]:
+    """The keys of rows of (key, value) cells in the order in which they are first seen; at most 10,000.
+
+    ``order`` numbers the rows; keys of one row come in its own order.
+    """
+    seen = rows.select(F.col(order).alias("row"), F.posexplode(cells).alias("pos", "c")).select(F.struct("row", "pos").alias("at"), "c.key")
+    keys = seen.groupBy("key").agg(F.min("at").alias("at")).orderBy("at").limit(10_001).collect()
+    if len(keys) > 10_000:
+        raise ValueError("more than 10,000 columns")
+    return [r["key"] for r in keys]
+
+
+def write_discovered_csv(rows: DataFrame, order: str, path: str, last: list[str], cells: str = "cells") -> list[str]:
+    """CSV of rows of cells under the columns that are found in them, then ``last``; the header is
+    returned. A key that a row has twice keeps its last value."""
+    columns = [c for c in discovered_columns(rows, order, cells) if c not in last] + last
+    value = lambda c: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(cells, lambda x: x["key"] == c), lambda x: F.coalesce(x["value"], F.lit("")))), -1)
+    table = rows.select(*[value(c).alias(c) for c in columns])
+    table.write.mode("overwrite").option("header", True).csv(path)
+    return columns
+
+
+def write_artifacts(records: DataFrame, summary_: DataFrame, failed: DataFrame, folder: str) -> dict[str, str]:
+    """What a run leaves: its records, summary and failures as canonical JSON lines, by name."""
+    parts = {"run_records": records, "summary": summary_, "failures": failed}
+    for name, df in parts.items():
+        write_json_lines(df, f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in parts}
+
+
 def report(df: DataFrame, columns: list[str], most: int = 1000) -> str:
     """A Markdown table of a small result; larger ones are refused, not cut."""
     rows = df.select(*columns).limit(most + 1).collect()

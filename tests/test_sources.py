@@ -87,3 +87,34 @@ def test_tagged_union_and_pending(spark):
     assert {(r.dataset_id, r.id, r.x) for r in readers.tagged_union({"m__1": a, "n__2": b}).collect()} == {("m", 0, None), ("m", 1, None), ("n", 0, 1)}
     runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
     assert [r.run_id for r in audit.pending(runs, runs.limit(1).where("run_id = 'a'")).collect()] == ["b"]
+
+
+def test_first_member_of_several(tmp_path):
+    names = ["a/x_train.jsonl", "b/y_train.jsonl"]
+    assert readers.member_name(names, "train", ".jsonl", first=True) == names[0]
+    with pytest.raises(ValueError, match="2 members"):
+        readers.member_name(names, "train", ".jsonl")
+
+
+def test_only_record(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert readers.only_record(rows, "k", "b").first().v == 2
+    with pytest.raises(ValueError, match="no record"):
+        readers.only_record(rows, "k", "z")
+
+
+def test_csv_with_a_discovered_header(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [("b", "1"), ("a", "2")]), (2, [("c", "3"), ("label", "x")]), (3, [("a", "0"), ("a", "4")])], "n int, cells array<struct<key:string,value:string>>")
+    header = writers.write_discovered_csv(rows, "n", f"{tmp_path}/out", ["label"])
+    assert header == ["b", "a", "c", "label"]
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out")
+    assert back.columns == header and sorted((r.a or "", r.c or "", r.label or "") for r in back.collect()) == [("", "3", "x"), ("2", "", ""), ("4", "", "")]
+
+
+def test_artifacts(spark, tmp_path):
+    rows = spark.createDataFrame([("r", 1)], "run_id string, n int")
+    paths = writers.write_artifacts(rows, rows.select("n"), rows.limit(0), f"{tmp_path}/run")
+    assert readers.json_lines(spark, paths["run_records"], "run_id string, n int").collect() == rows.collect()
+    assert readers.json_lines(spark, paths["failures"], "run_id string, n int").count() == 0
+    writers.write_json_rows(rows, f"{tmp_path}/plain")
+    assert spark.read.text(f"{tmp_path}/plain").first().value == '{"run_id":"r","n":1}'
