@@ -15,17 +15,19 @@ from citeforge.llm import bytecnn, containment, markov, oddsketch, packing, shar
 LEAST_SCORE = 0.5
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """The rows as one column beside what a stage reads, so that no name can clash."""
-    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+def _names(docs: DataFrame) -> list[str]:
+    """Names that no stage uses, for all columns but the two that stages read."""
+    return [c if c in ("doc_id", "text") else f"kept_{i}" for i, c in enumerate(docs.columns)]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter (null and empty texts too), and those whose language is not
     clear. Repeated rows and null ids have one fate by their text; an empty table stays empty."""
+    names = _names(docs)
     network = bytecnn.train(docs.select("doc_id", "text", "lang"))
-    known = bytecnn.identify(_carried(docs), network)
-    return known.where((F.col("lang_pred") != bytecnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select("row.*")
+    known = bytecnn.identify(docs.toDF(*names), network)
+    clear = known.where((F.col("lang_pred") != bytecnn.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    return clear.select(names).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,16 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; n_chars follows the text where it changes. Null texts stay null,
     and all rows stay, repeated ones included."""
-    found = markov.find_secrets(_carried(docs)).withColumn("clean", markov.redacted(F.col("text"), F.col("all_spans")))
+    names = _names(docs)
+    found = markov.find_secrets(docs.toDF(*names)).withColumn("clean", markov.redacted(F.col("text"), F.col("all_spans")))
     changed = F.size("all_spans") > 0
-    columns = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return found.select([columns[c].alias(c) if c in columns else F.col("row")[c].alias(c) for c in docs.columns])
+
+    def column(c: str, name: str):
+        if c == "text":
+            return F.col("clean")
+        return F.when(changed, F.length("clean").cast("long")).otherwise(F.col(name)) if c == "n_chars" else F.col(name)
+
+    return found.select([column(c, n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
