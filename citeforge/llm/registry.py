@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, brown, bytecnn, containment, fertility, markov, oddsketch, packing, skipchain, warc
+from citeforge.llm import bitplanes, brown, bytecnn, containment, fertility, interaction, markov, oddsketch, packing, skipchain, warc
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_markov": markov.op8_markov,
     "op9_packing": packing.op9_packing,
     "op10_byte_cnn": bytecnn.op10_byte_cnn,
+    "op11_interaction": interaction.op11_interaction,
 }
-ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE, "op6_containment": containment.ORACLE}
+ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE, "op6_containment": containment.ORACLE, "op11_interaction": interaction.ORACLE}
