@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeforge.llm import bitplanes, brown, bytecnn, containment, fertility, interaction, markov, merkle, oddsketch, packing, skipchain, warc
+from citeforge.llm import bitplanes, brown, bytecnn, containment, fertility, interaction, markov, merkle, oddsketch, packing, skipchain, tagpaths, warc
 
 QUERIES = {
     "op1_fertility": fertility.op1_fertility,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_byte_cnn": bytecnn.op10_byte_cnn,
     "op11_interaction": interaction.op11_interaction,
+    "op12_tag_paths": tagpaths.op12_tag_paths,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {"op4_capture_index": warc.ORACLE, "op6_containment": containment.ORACLE, "op11_interaction": interaction.ORACLE, "op13_merkle": merkle.ORACLE}
