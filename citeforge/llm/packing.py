@@ -89,13 +89,38 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def bundled(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The bundle (0 on) of each item: items of ``most`` or more alone, smaller ones together.
+
+    Small items are laid end to end in falling order and cut wherever a multiple of ``most`` falls
+    in one, so a bundle is less than twice ``most`` and there are at most two for each ``most`` ids.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    falling = sizes[order]
+    large = falling >= most
+    before = np.cumsum(np.where(large, 0, falling)) - np.where(large, 0, falling)
+    new = large | (before // most != np.concatenate([[-1], before[:-1] // most]))
+    new[int(large.sum()) :][:1] = True
+    out = np.empty(len(sizes), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def pack_bucket(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each piece; no window exceeds ``capacity``, and no piece may."""
+    """The window of each piece; no window exceeds ``capacity``, and no piece may.
+
+    Differencing holds k numbers an item, so very small pieces go as bundles: what it holds follows
+    the ids in the bucket, not its pieces, of which there may be as many as ids.
+    """
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    bundle = bundled(sizes, max(1, capacity // 64))
+    sums = np.bincount(bundle, weights=sizes).astype(np.int64)
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        window = differencing(sizes, k)
-        if np.bincount(window, weights=sizes, minlength=1).max(initial=0) <= capacity:
-            return window
+        window = differencing(sums, k)
+        if np.bincount(window, weights=sums, minlength=1).max(initial=0) <= capacity:
+            return window[bundle]
         k += 1
 
 
@@ -133,8 +158,9 @@ def _pieces(vocabulary: str, end_id: int, capacity: int, keep_ids: bool):
 def cut_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every text's ids with the end id, written to the shared folder.
 
-    Null texts are empty (the end id alone); null ids and repeated rows are kept as they come; other
-    columns are not read. ``keep_ids`` adds the ids themselves.
+    Null texts are empty (the end id alone), of which there may be any number; null ids and repeated
+    rows are kept as they come, very long texts are cut into as many pieces as they need; other
+    columns are not read, and an empty table has no pieces. ``keep_ids`` adds the ids themselves.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = rows.mapInArrow(_pieces(vocabulary, end_id, capacity, keep_ids), PIECE + (", ids array<int>" if keep_ids else ""))

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,6 +21,31 @@ def test_windows_hold_their_pieces(sizes):
     assert window.max() + 1 <= 1 + sizes.sum() // (pk.CAPACITY - 1024)
 
 
+@given(st.lists(st.integers(1, 1024), min_size=1, max_size=300), st.integers(1, 200))
+def test_bundles_are_small_and_few(sizes, most):
+    sizes = np.array(sizes)
+    bundle = pk.bundled(sizes, most)
+    sums, counts = np.bincount(bundle, weights=sizes), np.bincount(bundle)
+    assert counts.min() > 0 and all(counts[b] == 1 for b, s in zip(bundle, sizes, strict=True) if s >= most)
+    assert sums[counts > 1].max(initial=0) < 2 * most
+    assert len(sums) <= (sizes >= most).sum() + 1 + 2 * sizes[sizes < most].sum() // most
+
+
+def test_very_many_tiny_pieces():
+    """As many pieces as ids: no more is held than for a bucket of large ones, and nothing is padded."""
+    tracemalloc.start()
+    window = pk.pack_bucket(np.ones(128 * pk.CAPACITY, np.int64))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert np.array_equal(np.bincount(window), np.full(128, pk.CAPACITY))
+
+
+def test_very_many_empty_texts(spark):
+    rows = spark.range(50_000).selectExpr("id AS doc_id", "'' AS text")
+    out = pk.pack_documents(rows).groupBy("sequence_id").count().collect()
+    assert sum(r["count"] for r in out) == 50_000 and len(out) == 13
+
+
 def test_differencing_balances():
     assert np.ptp(np.bincount(pk.differencing(np.array([8, 7, 6, 5, 4]), 2), weights=[8, 7, 6, 5, 4])) <= 2
     sizes = np.random.default_rng(0).integers(1, 1000, 500)
