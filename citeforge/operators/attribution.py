@@ -59,6 +59,20 @@ def _keys(parts: dict[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(level).alias("level"), joined(names).alias("key")) for level, names in LEVELS.items()])
 
 
+def status(formed: Column, source: Column, span: Column, snapshot: Column, whole: Column, retrieved: Column, label: Column) -> Column:
+    """A citation's status from what is known of its pointer and its label; the first rule that applies decides."""
+    return (
+        F.when(~formed, "malformed_citation_id")
+        .when(~source | ~span, "nonexistent_citation_id")
+        .when(~snapshot, "wrong_snapshot_hash")
+        .when(~whole, "wrong_span_hash")
+        .when(~retrieved, "citation_id_not_in_retrieved_evidence")
+        .when(label.isin(UNSUPPORTED), "structurally_valid_but_semantically_unsupported_citation")
+        .when(label.isin(PARTIAL), "overclaim_partially_supported_claim")
+        .otherwise("valid_citation")
+    )
+
+
 def validate(citations: DataFrame, ledger: DataFrame, retrieved: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Add the status of each citation and everything that follows from it.
 
@@ -84,18 +98,8 @@ def validate(citations: DataFrame, ledger: DataFrame, retrieved: DataFrame, scop
     met = met.groupBy(*scope, "citation_id").agg(*[F.max(F.col("level") == f).alias(f) for f in flags])
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = rows.join(met, [*scope, "citation_id"], "left")
-    formed = parsed(F.col("citation_id")).isNotNull()
-    status = (
-        F.when(~formed, "malformed_citation_id")
-        .when(~has("_source") | ~has("_span"), "nonexistent_citation_id")
-        .when(~has("_snapshot"), "wrong_snapshot_hash")
-        .when(~has("_hash"), "wrong_span_hash")
-        .when(~has("_retrieved"), "citation_id_not_in_retrieved_evidence")
-        .when(label.isin(UNSUPPORTED), "structurally_valid_but_semantically_unsupported_citation")
-        .when(label.isin(PARTIAL), "overclaim_partially_supported_claim")
-        .otherwise("valid_citation")
-    )
-    rows = rows.withColumns({"validator_status": status, "source_exists": has("_source")}).drop(*flags)
+    found = status(parsed(F.col("citation_id")).isNotNull(), *[has(f) for f in flags], label)
+    rows = rows.withColumns({"validator_status": found, "source_exists": has("_source")}).drop(*flags)
     return with_flags(rows, label)
 
 

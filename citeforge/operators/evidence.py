@@ -140,33 +140,6 @@ def rank_scoped(questions: DataFrame, corpus: DataFrame, context: DataFrame, top
     return ranked if free.isEmpty() else ranked.unionByName(rank_evidence(free, corpus, top_k))
 
 
-def retrieve_spans(questions: DataFrame, spans: DataFrame, top_k: int = 2) -> DataFrame:
-    """Multiset overlap with each span, weighted by coverage of the question and by span length.
-
-    Spans (span_id, text) without overlap fill up with score 0, smallest ids first. The length of a
-    span is counted where it is read and goes along with its tokens.
-    """
-    terms = settled(query_terms(questions, T.RETRIEVAL_STOPWORDS))
-    wide = terms.groupBy("question_id").agg(F.count("*").alias("distinct_terms"))
-    own = spans.select("span_id", T.tokens(F.col("text"), T.RETRIEVAL_STOPWORDS).alias("t")).select("span_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    asked = own.join(small(settled(terms.select("token").distinct())), "token", "left_semi")
-    counted = asked.repartition("span_id").groupBy("span_id", "n", "token").agg(F.count("*").alias("f"))
-    known = terms.join(wide, "question_id")
-    overlap = counted.join(small(settled(known)), "token").groupBy("question_id", "span_id", "n", "distinct_terms").agg(F.sum(F.least("f", "query_frequency")).alias("overlap"))
-    o = F.col("overlap").cast("double")
-    score = F.bround(o / F.col("distinct_terms") + o / F.sqrt(F.col("n").cast("double")), 6)
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "span_id")
-    met = overlap.select("question_id", "span_id", score.alias("score"))
-    best = settled(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("rank"))
-    # A question with fewer than top_k rows has all its spans there, so the smallest other ids fill up.
-    first = [r[0] for r in spans.select("span_id").distinct().orderBy("span_id").limit(2 * top_k).collect()]
-    short = questions.select("question_id").join(best.groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") >= top_k), "question_id", "left_anti")
-    fill = short.select("question_id", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("span_id"))
-    fill = fill.join(best, ["question_id", "span_id"], "left_anti").withColumn("score", F.lit(0.0))
-    more = fill.unionByName(best)
-    return more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-
-
 def process_contexts(records: DataFrame) -> DataFrame:
     """Corpus rows of question-answering records with a context of (title, sentences) entries.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.functions import text as T
+from citeforge.sources.folders import new_folder
 
 # Label names, and the order in which labels are audited.
 LABELS = ["entailed", "partially_supported", "unsupported", "contradictory", "insufficient_evidence"]
@@ -17,16 +17,12 @@ AUDIT_PRIORITY = ["contradictory", "partially_supported", "unsupported", "insuff
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint, so that all that is built on it sees the same partitions.
-
-    The folder is the session's own; one is set only for local sessions that have none.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back, so that all that is built on it sees the same rows
+    and reads only the columns it needs."""
+    spark = df.sparkSession
+    folder = new_folder(spark, "settled")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:

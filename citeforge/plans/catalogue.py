@@ -15,6 +15,7 @@ from citeforge.operators import evidence as E
 from citeforge.operators import judging as J
 from citeforge.operators import metrics as M
 from citeforge.operators import rules as R
+from citeforge.operators import serving as S
 from citeforge.operators.judging import settled
 from citeforge.operators.sizing import small
 from citeforge.plans import tables as B
@@ -155,7 +156,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC
 SELECT question_id, span_id, score, rank FROM rk WHERE rank <= 2""")
 def retrieve_spans_top2(spark, d):
     spans = B.corpus(spark, d).select(F.col("source_doc_id").alias("span_id"), "text")
-    return E.retrieve_spans(B.questions(spark, d), spans).select("question_id", "span_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.retrieve_spans(B.questions(spark, d), spans).select("question_id", "span_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _SUPPORT = "su AS (SELECT item_id AS question_id, 'doc_' || doc_id AS source_doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

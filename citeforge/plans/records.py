@@ -14,6 +14,7 @@ from citeforge.operators import judging as J
 from citeforge.operators import metrics as M
 from citeforge.operators import rules as R
 from citeforge.operators import runs as U
+from citeforge.operators import serving as S
 from citeforge.operators.judging import settled
 from citeforge.plans import catalogue as C
 from citeforge.plans import tables as B
@@ -270,11 +271,11 @@ def index_manifest(spark, d):
 
 @query(f"WITH {C._TOP8} SELECT question_id, source_doc_id, score, rank FROM rk WHERE rank <= 8")
 def rank_evidence_indexed(spark, d):
-    """The ranking from a written index."""
-    folder = new_folder(spark, "index")
-    I.write_index(B.corpus(spark, d), folder)
-    ranked = I.rank_indexed(B.questions(spark, d), *I.read_index(spark, folder))
-    return ranked.select("question_id", "source_doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    """The ranking from a written index, of which only the buckets of asked tokens are read."""
+    folder = new_folder(spark, "serving")
+    S.write_serving_index(B.corpus(spark, d), folder)
+    ranked = S.rank_pruned(B.questions(spark, d), folder)
+    return ranked.select("question_id", "source_doc_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # Paragraphs

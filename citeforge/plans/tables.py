@@ -37,10 +37,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question_text"))
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
+def ledger(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The ledger's keys by document; ``more`` names further columns of the documents to keep."""
     docs = read(spark, d, "documents")
     name = F.col("doc_id").cast("string")
-    rows = docs.select("doc_id", F.col("source").alias("dataset_id"), F.concat(F.lit("doc_"), name).alias("source_id"), F.substring(T.sha256(F.coalesce("lang", F.lit(""))), 1, 16).alias("snapshot_hash"), F.concat(F.lit("span_"), name).alias("span_id"), T.span_hash(F.coalesce("text", F.lit(""))).alias("span_hash"))
+    rows = docs.select("doc_id", F.col("source").alias("dataset_id"), F.concat(F.lit("doc_"), name).alias("source_id"), F.substring(T.sha256(F.coalesce("lang", F.lit(""))), 1, 16).alias("snapshot_hash"), F.concat(F.lit("span_"), name).alias("span_id"), T.span_hash(F.coalesce("text", F.lit(""))).alias("span_hash"), *more)
     return rows.withColumn("pointer", A.pointer(*[F.col(p) for p in A.PARTS]))
 
 

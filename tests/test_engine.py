@@ -11,6 +11,7 @@ from citeforge.operators import evidence as E
 from citeforge.operators import judging as J
 from citeforge.operators import metrics as M
 from citeforge.operators import rules as R
+from citeforge.operators import serving as S
 
 LEDGER = "dataset_id string, source_id string, snapshot_hash string, span_id string, span_hash string"
 
@@ -100,7 +101,7 @@ def test_rankings(spark):
     scoped = E.rank_scoped(q, docs, context, 8)
     assert sorted((r.question_id, r.rank, r.source_doc_id) for r in scoped.collect()) == [(1, 1, "c"), (1, 2, "d"), (2, 1, "a"), (2, 2, "b")]
     spans = docs.select(F.col("source_doc_id").alias("span_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = E.retrieve_spans(q, spans, 2).collect()
+    found = S.retrieve_spans(q, spans, 2).collect()
     assert {(r.question_id, r.rank, r.span_id) for r in found} == {(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "b")}
 
 

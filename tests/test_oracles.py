@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from citeforge.plans import catalogue, records, registry  # noqa: F401 (the first two register)
+from citeforge.plans import catalogue, composed, records, registry  # noqa: F401 (all but the last register)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
