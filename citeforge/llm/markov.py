@@ -201,19 +201,46 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, matches(text, HEX, 2)))
 
 
-def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
-    """Tokens, or parts of them, that the models call random and that overlap no base span.
+def first_place(spans: Column, above) -> Column:
+    """The place, from 0, of the first span for which ``above`` holds, by bisection; the size if there is none.
+
+    ``above`` must hold for all spans behind one for which it holds.
+    """
+    halvings = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int")))
+    whole = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(z: Column, _: Column) -> Column:
+        mid = F.shiftright(z["lo"] + z["hi"], 1)
+        hit = F.coalesce(above(F.get(spans, mid)), F.lit(True))
+        return F.struct(F.when(hit, z["lo"]).otherwise(mid + 1).alias("lo"), F.when(hit, mid).otherwise(z["hi"]).alias("hi"))
+
+    return F.aggregate(halvings, whole, lambda z, i: F.when(z["lo"] < z["hi"], halve(z, i)).otherwise(z), lambda z: z["lo"])
+
+
+def taken_from(spans: Column, a: Column, e: Column) -> Column:
+    """The spans of the places from a to before e; a slice would copy them all."""
+    some = lambda x: F.when(x["a"] < x["e"], F.transform(F.sequence(x["a"], x["e"] - 1), lambda i: F.get(spans, i))).otherwise(F.expr(_NONE))
+    return _let(F.struct(a.alias("a"), e.alias("e")), some)
+
+
+def overlapping(kinds: list[Column], start: Column, end: Column) -> Column:
+    """The spans that overlap a range. Spans of one kind are disjoint and in order, so each kind's are a slice."""
+    found = []
+    for spans in kinds:
+        a, e = first_place(spans, lambda b: b["end"] > start), first_place(spans, lambda b: b["start"] >= end)
+        found.append(taken_from(spans, a, e))
+    return F.concat(*found)
+
+
+def random_spans(s: Column, near: Column, ratios: list[float]) -> Column:
+    """The random parts of a token ``s`` that overlap none of ``near``, the base spans that touch it.
 
     A token that is random as a whole is one span. In others, and beside base spans, each part of
     ``best_parts`` is one, together with the letters and digits that it touches.
     """
+    v, size = s["value"], F.length(s["value"])
 
-    def spans_of(s: Column) -> Column:
-        v, size = s["value"], F.length(s["value"])
-        near = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return _let(F.struct(near.alias("near"), F.transform(ratio_steps(v, ratios), lambda x: x - MARGIN).alias("steps")), lambda t: judged(s, v, size, t["near"], t["steps"]))
-
-    def judged(s: Column, v: Column, size: Column, near: Column, steps: Column) -> Column:
+    def judged(steps: Column) -> Column:
         apart = F.size(near) == 0
         whole = apart & (F.aggregate(steps, F.lit(0.0), lambda z, x: z + x) >= 0)
         taken = F.transform(steps, lambda x, i: F.when(F.exists(near, lambda b: (b["start"] <= s["start"] + i + 1) & (s["start"] + i < b["end"])), F.lit(_TAKEN)).otherwise(x))
@@ -246,7 +273,7 @@ def random_spans(text: Column, base: Column, ratios: list[float]) -> Column:
 
         return F.transform(F.aggregate(parts, none, add), span)
 
-    return F.flatten(F.transform(matches(text, TOKEN, 3), spans_of))
+    return _let(F.transform(ratio_steps(v, ratios), lambda x: x - MARGIN), judged)
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
@@ -254,13 +281,21 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None) -> DataFram
 
     A null text is empty, and an empty one has no spans. Rows keep their number and their other
     columns, null ids and repeated rows included; columns of these two names that are there already
-    are replaced. A very long text is searched whole, in its row. An empty table gives an empty one.
-    No shuffle.
+    are replaced. A very long text is searched whole, in its row; base spans are found for each token
+    by bisection, so its time follows tokens and spans together. Only inside one very long token with
+    very many of them does it follow their product. An empty table gives an empty one. No shuffle.
     """
     ratios = train(labelled_samples(docs)) if ratios is None else ratios
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("base_spans", base_spans(text))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", random_spans(text, F.col("base_spans"), ratios))))
+    # Columns of their own keep the expressions flat; Spark's analysis of nested functions grows with their depth.
+    of_kind = lambda k: F.filter("base_spans", lambda b: b["kind"] == k).alias(f"k{k}")
+    found = found.withColumns({"__secret_tokens": matches(text, TOKEN, 3), "__secret_kinds": F.struct(*[of_kind(k) for k in range(3)])})
+    kinds = [F.col(f"__secret_kinds.k{k}") for k in range(3)]
+    near = F.when(F.size("base_spans") == 0, F.transform("__secret_tokens", lambda s: F.expr(_NONE))).otherwise(F.transform("__secret_tokens", lambda s: overlapping(kinds, s["start"], s["end"])))
+    found = found.withColumn("__secret_near", near)
+    added = F.flatten(F.zip_with("__secret_tokens", "__secret_near", lambda s, n: random_spans(s, n, ratios)))
+    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", added))).drop("__secret_tokens", "__secret_kinds", "__secret_near")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -101,3 +101,97 @@ def test_redaction(spark):
 
 def test_empty_table(empty):
     assert markov.find_secrets(empty).collect() == []
+
+
+def plain_parts(steps):
+    """The pass of ``best_parts`` as a loop over a token's steps."""
+    width, never = markov.LEAST - 1, -1e15
+    w, b, a, c, ca, peak, pa, pe, out = 0.0, never, 0, never, 0, -1.0, 0, -2, []
+    for i, d in enumerate(steps):
+        w += d - (steps[i - width] if i >= width else 0.0)
+        first = i - (width - 1)
+        fresh = w if first >= 0 else never
+        behind = w if first >= 0 and first >= pe + 2 else never
+        b, c = b + d, c + d
+        if fresh > b:
+            a = first
+        b = max(b, fresh)
+        if behind > c:
+            ca = first
+        c = max(c, behind)
+        if b >= 0 and b > peak:
+            if peak >= 0 and a >= pe + 2:
+                out.append((pa, pe + 2))
+            peak, pa, pe, c = b, a, i, never
+        elif peak >= 0 and c >= 0:
+            out.append((pa, pe + 2))
+            peak, pa, pe, b, a, c = c, ca, i, c, ca, never
+    return [*out, (pa, pe + 2)] if peak >= 0 else out
+
+
+def plain_random(text, ratios):
+    base, out = brute(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        v, at = m[0], m.start()
+        place = [markov.ALPHABET.find(x) for x in v]
+        steps = [ratios[p * markov.SIZE + q] - markov.MARGIN for p, q in zip(place, place[1:])]
+        near = [(s, e) for s, _, e in base if s < m.end() and at < e]
+        if not near and sum(steps) >= 0:
+            out.append((at, m.end()))
+            continue
+        taken = [markov._TAKEN if any(s <= at + i + 1 and at + i < e for s, e in near) else x for i, x in enumerate(steps)]
+        parts, wide = plain_parts(taken), []
+        for k, (a, e) in enumerate(parts):
+            low = max([0, *(q - at for _, q in near if q <= at + a), *([parts[k - 1][1]] if k else [])])
+            high = min([len(v), *(p - at for p, _ in near if p >= at + e), *([parts[k + 1][0]] if k + 1 < len(parts) else [])])
+            while a > low and v[a - 1].isalnum():
+                a -= 1
+            while e < high and v[e].isalnum():
+                e += 1
+            if wide and wide[-1][1] >= a:
+                wide[-1] = wide[-1][0], max(wide[-1][1], e)
+            else:
+                wide.append((a, e))
+        out += [(at + a, at + e) for a, e in wide]
+    return out
+
+
+def mixed(draw, n):
+    """A text of glued and separate values of every kind, a few of its tokens very long."""
+    letters = string.ascii_letters + string.digits
+    piece = lambda k, of: "".join(draw.choices(of, k=k))
+    makers = [lambda: piece(draw.randint(24, 40), "0123456789abcdef"), lambda: "token=" + piece(8, letters), lambda: piece(draw.randint(10, 60), letters), lambda: "the_quick_brown_fox", lambda: "AKIA" + piece(20, string.ascii_uppercase), lambda: "x" * 25, lambda: piece(30, "+/_=-")]
+    out = []
+    while sum(map(len, out)) < n:
+        out += [draw.choice(makers)(), draw.choice(["", "", "Z", "/", "é ", " ", "\n"])]
+    return "".join(out)
+
+
+def test_added_spans_equal_plain_loops(spark, docs):
+    ratios = markov.train(markov.labelled_samples(docs))
+    draw = random.Random(11)
+    texts = [mixed(draw, n) for n in [150] * 150 + [1500] * 2]
+    out = {r.doc_id: r.all_spans for r in markov.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()}
+    # Sums are made in another order, so a part whose steps sum to almost exactly 0 may differ; there is none here.
+    for i, text in enumerate(texts):
+        assert [(s.start, s.end) for s in out[i] if s.kind == 3] == plain_random(text, ratios)
+    assert sum(len(plain_random(t, ratios)) for t in texts) > 200
+
+
+def test_time_follows_length(spark):
+    """Twice the matches and tokens take about twice the time."""
+    import time
+
+    ratios = [0.1] * markov.SIZE**2
+    draw = random.Random(5)
+    text = "".join(f"token={draw.randrange(10**9):012d} {draw.randrange(16**31):032x} " for _ in range(6_000))
+
+    def took(n):
+        df = spark.createDataFrame([(1, text[:n])], "doc_id long, text string")
+        began = time.time()
+        markov.find_secrets(df, ratios).select(F.size("all_spans")).collect()
+        return time.time() - began
+
+    took(1000)
+    small = took(len(text) // 2)
+    assert took(len(text)) < 2 + 2 * small
