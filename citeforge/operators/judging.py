@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,16 +72,17 @@ def annotation_rows(records: DataFrame, include_invalid: bool = False) -> DataFr
 Judge = Callable[[dict], dict]
 
 
-def apply_judge(items: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
+def apply_judge(items: DataFrame, judge: Judge, attempts: int = 3, wait: float = 0.0) -> DataFrame:
     """Call ``judge`` for each row (a dict with claim_text and cited_span_text) in the tasks.
 
-    It returns label, confidence and rationale. Rows without a span are skipped; a call that still
-    fails after ``attempts`` tries gives status error and does not stop the others.
+    It returns label, confidence and rationale. Rows without a span are skipped; a call that fails is
+    tried again after ``wait`` seconds, twice as long each time, and one that still fails after
+    ``attempts`` tries gives status error and does not stop the others.
     """
 
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [_labelled(row, judge, attempts) for row in frame.to_dict("records")]
+            out = [_labelled(row, judge, attempts, wait) for row in frame.to_dict("records")]
             extra = pd.DataFrame(out, columns=["judge_status", "judge_label", "judge_confidence", "judge_rationale"], index=frame.index)
             yield pd.concat([frame, extra], axis=1)
 
@@ -88,11 +90,13 @@ def apply_judge(items: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
     return items.mapInPandas(label, f"{kinds}, judge_status string, judge_label string, judge_confidence double, judge_rationale string")
 
 
-def _labelled(row: dict, judge: Judge, attempts: int) -> tuple:
+def _labelled(row: dict, judge: Judge, attempts: int, wait: float) -> tuple:
     if not (row.get("cited_span_text") or "").strip():
         return "skipped", "", 0.0, ""
     error = ""
-    for _ in range(attempts):
+    for k in range(attempts):
+        if k and wait:
+            time.sleep(wait * 2 ** (k - 1))
         try:
             answer = judge(row)
             if answer.get("label") not in LABELS:

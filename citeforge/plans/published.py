@@ -1,12 +1,15 @@
-"""Published snapshots and the registry that follows them, as queries."""
+"""Published snapshots, the registry that follows them, and stored judgements, as queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citeforge.functions import text as T
+from citeforge.operators import judging as J
 from citeforge.operators import rules as R
 from citeforge.operators import snapshots as P
-from citeforge.functions import text as T
+from citeforge.operators.judging import settled
+from citeforge.operators.memo import JudgeMemo
 from citeforge.plans import catalogue as C
 from citeforge.plans import tables as B
 from citeforge.plans.registry import query
@@ -53,3 +56,18 @@ def registry_versions(spark, d):
     registry.update(merged, 2)
     registry.compact()
     return registry.read().select("dataset_id", "source_snapshot_id", "retrieval_index_path", "status", F.col("version").cast("int").alias("version"))
+
+
+_JUDGED = "SELECT *, CASE WHEN trim(coalesce(span_text, '')) = '' THEN 'skipped' WHEN length(claim_text) > 150 THEN 'error' ELSE 'labeled' END AS judge_status"
+
+
+@query(f"""WITH {B.VALIDATED}, j AS ({_JUDGED}, {B.excerpt('span_text')} AS x FROM v WHERE structural_validity = 'valid'), f AS (SELECT DISTINCT claim_text, x FROM j WHERE conv_id % 2 = 0 AND judge_status = 'labeled')
+SELECT run_id, claim_id, judge_status, CASE WHEN judge_status = 'labeled' THEN ([{', '.join(repr(x) for x in J.LABELS)}])[length(j.claim_text) % 5 + 1] ELSE '' END AS judge_label, CASE WHEN judge_status = 'labeled' THEN 1.0 ELSE 0.0 END AS judge_confidence, f.x IS NOT NULL AS from_store
+FROM j LEFT JOIN f ON f.claim_text = j.claim_text AND f.x = j.x AND judge_status = 'labeled'""")
+def judge_memo(spark, d):
+    """Labels of valid citations, of which half have been judged before and are taken from the store."""
+    items = B.semantic(spark, d).where("structural_validity = 'valid'").select("conv_id", "run_id", "claim_id", "claim_text", F.when(F.col("span_filled"), F.col("span_excerpt")).alias("cited_span_text"))
+    items = settled(items)
+    memo = JudgeMemo(spark, new_folder(spark, "memo"), "length_v1")
+    memo.label(items.where("conv_id % 2 = 0"), C.LengthJudge(), attempts=2)
+    return memo.label(items, C.LengthJudge(), attempts=2).select("run_id", "claim_id", "judge_status", "judge_label", "judge_confidence", "from_store")
