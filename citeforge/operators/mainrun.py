@@ -66,13 +66,18 @@ def enrich(ranked: DataFrame, spans: DataFrame, key: str = "source_doc_id") -> D
 
 
 def with_request(rows: DataFrame, prompt_version: str = "v1") -> DataFrame:
-    """Add ``system`` and ``request`` for rows with baseline, question_text and evidence."""
+    """Add ``system`` and ``request`` for rows with baseline, question_text and evidence, and what records keep of them.
+
+    The evidence's texts are in the request from here on, and leave the evidence.
+    """
     policy = F.element_at(F.create_map(*[F.lit(x) for kv in POLICIES.items() for x in kv]), F.col("baseline"))
     system = F.concat(F.lit("baseline="), "baseline", F.lit(f". prompt_version={prompt_version}. "), policy, F.lit(" " + RULES))
     ids = lambda name: F.to_json(F.transform("evidence", lambda e: e[name]))
     line = lambda e: F.concat(F.lit("- evidence_id="), e["evidence_id"], F.lit(" ledger_span_id="), e["ledger_span_id"], F.lit(" citation_id="), e["citation_id"], F.lit(" title="), e["title"], F.lit(" text="), e["text"])
     user = F.concat(F.lit("Question:\n"), "question_text", F.lit("\n\nvalid_evidence_ids:\n"), ids("evidence_id"), F.lit("\n\nvalid_citation_ids:\n"), ids("citation_id"), F.lit("\n\nEvidence:\n"), F.array_join(F.transform("evidence", line), "\n"))
-    return rows.withColumn("system", system).withColumn("request", user)
+    asked = rows.withColumn("system", system).withColumn("request", user)
+    asked = asked.withColumns({"request_sha256": T.sha256(F.concat("system", F.lit("\n"), "request")), "request_length": F.length("request").cast("long")})
+    return asked.withColumn("evidence", F.transform("evidence", lambda e: e.dropFields("title", "text")))
 
 
 Generator = Callable[[dict], dict]
@@ -81,7 +86,7 @@ Generator = Callable[[dict], dict]
 def with_answers(rows: DataFrame, generate: Generator, attempts: int = 3, wait: float = 1.0, seen: tuple = ("run_id", "baseline", "question_id", "question_text", "system", "request")) -> DataFrame:
     """Call ``generate`` for each row in the tasks, with the columns ``seen``.
 
-    It returns content, prompt_tokens and completion_tokens. A call that fails is tried again after
+    It returns content, prompt_tokens and completion_tokens. The request's texts go no further. A call that fails is tried again after
     ``wait`` seconds, twice as long each time; one that still fails gives its row the error.
     """
 
@@ -101,9 +106,10 @@ def with_answers(rows: DataFrame, generate: Generator, attempts: int = 3, wait:
         for batch in batches:
             out = [call(row) for row in batch.select(list(seen)).to_pylist()]
             more = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "content", "prompt_tokens", "completion_tokens", "attempts", "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], *more], names=[*kept, "content", "prompt_tokens", "completion_tokens", "attempts", "error"])
 
-    schema = StructType(list(rows.schema.fields))
+    kept = [n for n in rows.columns if n not in ("system", "request")]
+    schema = StructType([f for f in rows.schema.fields if f.name in kept])
     for name, kind in (("content", "string"), ("prompt_tokens", "long"), ("completion_tokens", "long"), ("attempts", "integer"), ("error", "string")):
         schema.add(name, kind)
     return rows.mapInArrow(answer, schema)
@@ -169,7 +175,7 @@ def records(answered: DataFrame) -> DataFrame:
     uncited = F.size(F.array_except(F.transform("claims", lambda c: c["claim_id"]), F.transform(F.filter("citations", lambda c: c["kept"]), lambda c: c["claim_id"])))
     ok = F.col("status") == "ok"
     return rows.select(
-        "plan_order", "run_id", "dataset_id", "question_id", "baseline", "status", T.sha256(F.concat("system", F.lit("\n"), "request")).alias("request_sha256"), F.length("request").cast("long").alias("request_length"), "attempts", "error",
+        "plan_order", "run_id", "dataset_id", "question_id", "baseline", "status", "request_sha256", "request_length", "attempts", "error",
         F.transform("evidence", lambda e: e["evidence_id"]).alias("evidence_ids"), F.when(ok, F.col("answer.global_answer")).alias("global_answer"), F.when(ok, U.refusal_label(F.coalesce("answer.refusal", F.lit(False)))).alias("refusal_label"), "claims", "citations",
         F.size(F.filter("citations", lambda c: c["kept"])).cast("long").alias("valid_citation_count"), F.size(F.filter("citations", lambda c: ~c["kept"])).cast("long").alias("invalid_citation_count"),
         uncited.cast("long").alias("uncited_claim_count"), "prompt_tokens", "completion_tokens", T.cost_usd(F.col("prompt_tokens"), F.col("completion_tokens")).alias("estimated_cost_usd"),
