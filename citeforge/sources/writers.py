@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from citeforge.sources.folders import put_once
+
 
 def _sorted(c: Column, kind: t.DataType) -> Column:
     """A value with the fields of its structs in alphabetical order, at every level."""
@@ -71,6 +73,22 @@ def write_artifacts(records: DataFrame, summary_: DataFrame, failed: DataFrame,
     return {name: f"{folder}/{name}" for name in parts}
 
 
+def write_run(records: DataFrame, folder: str, failed: Column, totals: dict[str, Column]) -> dict:
+    """All that a run leaves, from one evaluation of its records: canonical JSON lines below
+    ``artifact=run_records`` and, for rows where ``failed`` holds, ``artifact=failures``, and ``summary.json``.
+
+    ``totals`` are aggregates by name, taken while the rows are written; they are returned too.
+    """
+    spark, watch = records.sparkSession, Observation()
+    seen = records.observe(watch, *[c.alias(n) for n, c in totals.items()])
+    names = F.when(failed, F.array(F.lit("run_records"), F.lit("failures"))).otherwise(F.array(F.lit("run_records")))
+    tagged = seen.select(names.alias("_names"), canonical_json(records).alias("value")).select(F.explode("_names").alias("artifact"), "value")
+    tagged.write.mode("overwrite").partitionBy("artifact").text(folder)
+    found = watch.get
+    put_once(spark, f"{folder}/summary.json", json.dumps(found, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
+    return found
+
+
 def report(df: DataFrame, columns: list[str], most: int = 1000) -> str:
     """A Markdown table of a small result; larger ones are refused, not cut."""
     rows = df.select(*columns).limit(most + 1).collect()

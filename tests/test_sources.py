@@ -118,3 +118,25 @@ def test_artifacts(spark, tmp_path):
     assert readers.json_lines(spark, paths["failures"], "run_id string, n int").count() == 0
     writers.write_json_rows(rows, f"{tmp_path}/plain")
     assert spark.read.text(f"{tmp_path}/plain").first().value == '{"run_id":"r","n":1}'
+
+
+def test_all_artifacts_of_a_run_in_one_pass(spark, tmp_path):
+    """The input is evaluated once: a counter in it sees each row once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([(i, "ok" if i % 4 else "failed", None if i % 3 else "é") for i in range(40)], "n long, status string, text string").mapInPandas(count, "n long, status string, text string")
+    folder = f"file://{tmp_path}/run"
+    totals = {"runs": F.count(F.lit(1)), "failures": F.count_if(F.col("status") == "failed"), "n": F.sum("n")}
+    found = writers.write_run(rows, folder, F.col("status") == "failed", totals)
+    assert found == {"runs": 40, "failures": 10, "n": 780} and seen.value == 40
+    assert json.loads((tmp_path / "run/summary.json").read_text()) == found
+    lines = lambda name: sorted(json.loads(r.value)["n"] for r in spark.read.text(f"{folder}/artifact={name}").collect())
+    assert lines("run_records") == list(range(40)) and lines("failures") == list(range(0, 40, 4))
+    assert spark.read.text(f"{folder}/artifact=failures").first()[0].startswith('{"n":')
+    writers.write_run(rows.where("n < 0"), folder, F.col("status") == "failed", totals)  # over the old ones
+    assert json.loads((tmp_path / "run/summary.json").read_text())["runs"] == 0
