@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from citeforge.plans import catalogue, composed, published, records, registry  # noqa: F401 (all but the last register)
+from citeforge.plans import catalogue, composed, published, records, registry, stored  # noqa: F401 (all but registry register)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
