@@ -42,6 +42,7 @@ LEAST_ESTIMATE = 0.5
 BUCKET_BLOCK = 512  # members of a bucket that are compared by sketches in one task
 BRANCHES = 16  # that a member of a forest gets before others have theirs
 BLOCK = 256  # classes of a cluster that are compared by full sets in one task
+WIDE_ROWS = 1 << 12  # rows with sets or sketches that one task writes where their number is known
 HUB = 128  # pairs with one and the same set that are confirmed in one task
 FRUITFUL = 10  # nearest partners are confirmed once more while one in so many of them is linked
 
@@ -293,7 +294,7 @@ def similarity_estimate(difference):
 
 
 def _dealt(rows: DataFrame, key: str, block: int, kept: list[str]) -> DataFrame:
-    """Rows (key, node, component, n and ``kept``) dealt to groups (key, i, j) of two blocks at most,
+    """Rows (key, node, component, n and ``kept``) of a written table, dealt to groups (key, i, j) of two blocks at most,
     so that every two rows of different components meet; ``n`` is the number of the key's rows.
 
     Keys of up to ``block`` rows are one group. In larger ones, rows outside the largest component
@@ -306,10 +307,10 @@ def _dealt(rows: DataFrame, key: str, block: int, kept: list[str]) -> DataFrame:
     large = rows.where(F.col("n") > block)
     if large.isEmpty():
         return whole
-    parts = shared.materialize(large.groupBy(key, "component").agg(F.count("*").alias("rows")), "parts")
+    parts = large.groupBy(key, "component").agg(F.count("*").alias("rows"))
     main = parts.groupBy(key).agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.max("rows").alias("inside"), F.sum("rows").alias("all"))
     blocks = main.select(key, "main", F.ceil((F.col("all") - F.col("inside")) / block).alias("k"), F.ceil(F.col("inside") / block).alias("m"))
-    large = large.join(shared.small(shared.materialize(blocks.where("k > 0"), "blocks")), key)
+    large = large.join(shared.small(shared.materialize(blocks.where("k > 0"), "blocks", rows.count() // block)), key)
     h, outside = F.xxhash64("node"), F.col("component") != F.col("main")
     own = F.when(outside, F.pmod(h, F.col("k"))).otherwise(F.col("k") + F.pmod(h, F.col("m")))
     last = F.when(outside, F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
@@ -342,49 +343,56 @@ def _near_by_sketch(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, members) of some nodes: their texts are read again, those alone."""
-    ids = shared.materialize(classes.select("node", "set_a", "set_b").join(nodes, "node", "left_semi"), "candidates")
-    texts = docs.join(shared.small(ids.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+    """(node, members) of some nodes, a written table: their texts are read again, those alone."""
+    n = nodes.count()
+    ids = shared.materialize(classes.select("node", "set_a", "set_b").join(shared.small(nodes), "node", "left_semi"), "candidates", n)
+    fits = F.broadcast if shared.is_small(ids) else (lambda side: side)
+    texts = docs.join(fits(ids.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
     # An id may have several texts; each of its sets is a row.
-    sets = texts.mapInArrow(_sets, SETS).join(ids, ["node", "set_a", "set_b"], "left_semi")
-    return shared.materialize(sets.groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members")).drop("set_a", "set_b"), "sets")
+    sets = texts.mapInArrow(_sets, SETS).join(fits(ids), ["node", "set_a", "set_b"], "left_semi")
+    sets = sets.groupBy("node", "set_a", "set_b").agg(F.first("members").alias("members")).drop("set_a", "set_b")
+    return shared.materialize(sets, "sets", n, WIDE_ROWS)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    """The nodes of written pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return shared.materialize(ends, "ends", 2 * pairs.count())
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b, salt) that reach the threshold on their full sets."""
-    nodes = _ends(pairs)
-    met = _beside(pairs, _sets_of(nodes, classes, docs), ["members"])
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written pairs (a, b, salt) that reach the threshold on their full sets."""
+    met = _beside(pairs, sets, ["members"])
     both = F.size(F.array_intersect("a_members", "b_members"))
     either = F.size("a_members") + F.size("b_members") - both
-    return shared.materialize(met.where(100 * both >= SIMILAR * either).select("a", "b").distinct(), "links")
+    return shared.materialize(met.where(100 * both >= SIMILAR * either).select("a", "b").distinct(), "links", pairs.count(), WIDE_ROWS)
 
 
-def _open(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Members (node, bucket, n, component) of buckets that hold two components or more."""
+def _open(members: DataFrame, components: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """Members (node, bucket, n, component) of buckets that hold two components or more, with their
+    sketches."""
+    n = members.count()
     if components is not None:
-        members = members.join(components, "node", "left")
+        members = members.join(shared.small(components), "node", "left")
         members = members.withColumn("component", F.coalesce("component", "node"))
-        members = shared.materialize(members, "placed")
+        members = shared.materialize(members, "placed", n)
     else:
         members = members.withColumn("component", F.col("node"))
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+    members = shared.materialize(members.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed", n)
+    return shared.materialize(members.join(classes.select("node", *ODD), "node"), "open", members.count(), WIDE_ROWS)
 
 
 def _promised(members: DataFrame, components: DataFrame | None, classes: DataFrame) -> DataFrame:
     """Promising pairs across components in the same bucket; every node that has one is in a pair."""
-    rows = _open(members, components).join(classes.select("node", *ODD), "node")
-    return shared.materialize(_compared(_dealt(rows, "bucket", BUCKET_BLOCK, ODD), "bucket", _promising), "promising")
+    rows = _open(members, components, classes)
+    return shared.materialize(_compared(_dealt(rows, "bucket", BUCKET_BLOCK, ODD), "bucket", _promising), "promising", 2 * rows.count())
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Each node's most promising pair: at most as many pairs as nodes, no node with many of them."""
-    by = lambda c: pairs.groupBy(F.col(c).alias("node")).agg(F.min(F.struct("ones", "a", "b")).alias("pair"))
-    best = by("a").union(by("b")).groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("ones", "a", "b").alias("pair"))
+    best = ends.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
     return best.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(HUB)))
 
 
@@ -393,56 +401,64 @@ def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame | None:
     if links.isEmpty():
         return components
     before = [components.select(F.col("node").alias("a"), F.col("component").alias("b"))] if components is not None else []
-    return connected_components(links.select("a", "b").union(before[0]) if before else links)
+    rows = links.count() + (components.count() if before else 0)
+    return connected_components(links.select("a", "b").union(before[0]) if before else links, rows)
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component) of the classes that are linked with another one."""
+    """(node, component) of the classes, a written table, that are linked with another one."""
+    n = classes.count()
     keys = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = shared.materialize(keys.join(buckets, "bucket"), "members")
+    members = shared.materialize(keys.join(buckets, "bucket"), "members", BANDS * n)
     # Of the smallest members of its buckets, a node is held against the smallest one and against
     # that of its largest bucket.
     first, large = F.min("least").alias("first"), F.max_by("least", F.struct("n", -F.col("least"))).alias("large")
     stars = members.groupBy("node").agg(first, large, F.max("n").alias("n"))
     stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("first", "large"))).alias("b"), "n").where("a <> b")
     stars = stars.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HUB)).alias("salt"))
-    near = shared.materialize(_near_by_sketch(stars, classes), "stars")
+    near = shared.materialize(_near_by_sketch(stars, classes), "stars", 2 * n)
     members = members.select("node", "bucket", "n")
-    components = _joined(None, _confirmed(near, classes, docs))
+    components = _joined(None, _confirmed(near, _sets_of(_ends(near), classes, docs)))
     while True:
         pairs = _promised(members, components, classes)
-        nearest = shared.materialize(_nearest(pairs), "nearest")
-        links = _confirmed(nearest, classes, docs)
+        nearest = shared.materialize(_nearest(pairs), "nearest", pairs.count())
+        # Every node of a promising pair has a nearest one, so these are the sets of all of them.
+        nodes = _ends(nearest)
+        sets = _sets_of(nodes, classes, docs)
+        links = _confirmed(nearest, sets)
         components = _joined(components, links)
         if FRUITFUL * links.count() <= nearest.count():
             break
     if not pairs.isEmpty():
-        components = _joined(components, _last_links(pairs, components, classes, docs))
+        components = _joined(components, _last_links(pairs, components, classes, nodes, sets))
     if components is None:
         return classes.select("node", F.col("node").alias("component")).limit(0)
     return components
 
 
-def _last_links(pairs: DataFrame, components: DataFrame | None, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _last_links(pairs: DataFrame, components: DataFrame | None, classes: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join different components, by full sets of all nodes with a promising partner.
 
     Promising pairs put components into clusters outside which no link can lie. The pairs may be of
-    an earlier round, before some components became one.
+    an earlier round, before some components became one. ``nodes`` are all that are in pairs, and
+    ``sets`` theirs.
     """
-    nodes = _ends(pairs)
+    n = nodes.count()
     part = nodes.withColumn("component", F.col("node"))
     if components is not None:
-        part = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    part = shared.materialize(part, "parts")
-    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+        part = nodes.join(shared.small(components), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = shared.materialize(part, "parts", n)
+    fits = F.broadcast if shared.is_small(part) else (lambda side: side)
+    of = lambda c: fits(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")))
     edges = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
-    clusters = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    placed = shared.materialize(part.join(clusters, "component"), "clusters")
+    clusters = connected_components(edges, pairs.count()).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    placed = shared.materialize(part.join(shared.small(clusters), "component"), "clusters", n)
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"))
-    sets = _sets_of(nodes, classes, docs).join(classes.select("node", *ODD), "node")
-    rows = shared.materialize(sets.join(placed, "node").join(sizes, "cluster"), "rows")
-    return shared.materialize(_compared(_dealt(rows, "cluster", BLOCK, ["members", *ODD]), "cluster", _exact), "links")
+    placed = shared.materialize(placed.join(sizes, "cluster"), "clusters", n)
+    odd = classes.select("node", *ODD).join(shared.small(nodes), "node", "left_semi")
+    rows = shared.materialize(sets.join(shared.small(placed), "node").join(odd, "node"), "rows", n, WIDE_ROWS)
+    return shared.materialize(_compared(_dealt(rows, "cluster", BLOCK, ["members", *ODD]), "cluster", _exact), "links", rows.count())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -458,11 +474,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
     kept = [F.first(c).alias(c) for c in ("bands", *(f"o{k}" for k in range(LONGS)))]
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *kept)
-    classes = shared.materialize(classes, "classes")
+    classes = shared.materialize(classes, "classes", sketches.count(), WIDE_ROWS)
     found = link_classes(rows, classes)
-    known = classes.select("set_a", "set_b", "node", "copies").join(found, "node", "left").where("copies > 1 or component is not null")
-    known = shared.materialize(known.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "known")
-    out = sketches.join(known, ["set_a", "set_b"], "left")
+    known = classes.select("set_a", "set_b", "node", "copies").join(shared.small(found), "node", "left").where("copies > 1 or component is not null")
+    known = shared.materialize(known.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "known", classes.count())
+    out = sketches.join(shared.small(known), ["set_a", "set_b"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -37,10 +37,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return the table read back."""
+#: Rows of a few numbers that one task writes where the number of rows is known.
+TASK_ROWS = 1 << 16
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and return the table read back.
+
+    Where a bound on its ``rows`` is known, tasks write about ``task_rows`` of them each, and as many
+    tasks as there are cores share fewer: a small table is not spread over all of a shuffle's
+    partitions. All rows are written in any case.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // task_rows)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -157,3 +157,32 @@ def test_components(spark):
     out = components.connected_components(spark.createDataFrame(pairs, "a long, b long"))
     linked = {x for p in pairs if p[0] != p[1] for x in p}
     assert {(r.node, r.component) for r in out.collect()} == {(x, root(x)) for x in linked}
+
+
+def test_small_tables_are_not_spread_over_all_partitions(spark, monkeypatch):
+    """Few rows are written by few tasks, however many partitions a shuffle has, and the texts of
+    nodes that were confirmed are not read once more for the last links."""
+    monkeypatch.setattr(oddsketch, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(oddsketch, "BLOCK", 20)
+    files, real = {}, oddsketch.shared.materialize
+
+    def counted(df, name, *args):
+        table = real(df, name, *args)
+        files.setdefault(name, []).append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(oddsketch.shared, "materialize", counted)
+    texts = [*variants(1, 60, 4), *variants(2, 60, 8)]
+    rows = list(enumerate(texts, 100))
+    held = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    assert {k: v for k, v in files.items() if max(v) > most} == {}
+    assert len(files["rows"]) == 1 and len(files["sets"]) == 1 + len(files["promising"])
