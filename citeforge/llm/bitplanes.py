@@ -31,6 +31,9 @@ MAGIC = b"BPF1"
 FOOTER = struct.Struct("<qqc4s")
 BLOCK_IDS = 1 << 16
 
+#: Ids that one task reads back, where files are smaller; a larger file is a task of its own.
+TASK_IDS = 1 << 24
+
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -196,15 +199,15 @@ def write_ids(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: in
     never fills a task); a task sorts, encodes and writes one file, and a task that runs again
     replaces its file by the same bytes. Null ids come first, a null text is empty (one end id),
     repeated rows are all written, an empty table gives empty files or none. Other columns are not
-    read. ``start_id`` in the result is the number of ids in the files before.
+    read. ``start_id`` in the result is the number of ids in the files before. The result is one
+    Parquet file, not one for each row: every file that Spark writes makes it start processes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     files = rows.select("doc_id", "text").mapInArrow(_write_shards(vocabulary, end_id, shared.new_dir(spark, "token-ids"), kind, block_ids), MANIFEST)
-    files = shared.materialize(files, "token-files")
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    return files.withColumn("start_id", F.coalesce(before, F.lit(0)))
+    return shared.materialize(files.withColumn("start_id", F.coalesce(before, F.lit(0))), "token-files")
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +228,15 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=list(names))
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """Each document's place, length and CRC-32, from the files alone; a task for each file."""
-    n = max(1, files.count())
-    return files.select("shard", "path", "start_id").repartitionByRange(n, "shard").mapInArrow(_read_files, READ)
+def read_ids(files: DataFrame, task_ids: int = TASK_IDS) -> DataFrame:
+    """Each document's place, length and CRC-32, from the files alone.
+
+    Files are dealt in turn to tasks of about ``task_ids`` ids each, no fewer than cores and no more
+    than files, so that many small files are not as many small tasks. All files are read in any case.
+    """
+    n_files, n_ids = files.agg(F.count("*"), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    n = max(1, min(n_files, max(files.sparkSession.sparkContext.defaultParallelism, -(-n_ids // task_ids))))
+    return files.select("path", "start_id").repartition(n).mapInArrow(_read_files, READ)
 
 
 def op5_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

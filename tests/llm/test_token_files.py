@@ -49,3 +49,30 @@ def test_files_hold_every_id(table, request):
 
 def test_empty_table(empty):
     assert bp.read_ids(bp.write_ids(empty)).collect() == []
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Forty shuffle partitions that are never joined into fewer."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield 40
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_files_share_tasks(spark, docs, many_partitions):
+    """Forty small id files are listed in one file and read by a task for each core; a task for each where they are large."""
+    files = bp.write_ids(docs)
+    assert files.count() == many_partitions
+    assert len(files.inputFiles()) == 1
+    few, each = bp.read_ids(files), bp.read_ids(files, task_ids=1)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert each.rdd.getNumPartitions() == many_partitions
+    want, _ = expected([(r.doc_id, r.text) for r in docs.collect()])
+    for read in (few, each):
+        got = sorted(map(tuple, read.collect()), key=lambda r: r[1])
+        assert [(r[0], r[2], r[3]) for r in got] == want
+        assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])])[:-1].tolist()
